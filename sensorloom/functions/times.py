@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 ISO_PATTERN = (
     r"^\d{4}-?\d{2}-?\d{2}([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 )
+EXTENDED_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
 # Steps from the compact to the extended form, applied in this order.
 ISO_TO_EXTENDED = (
     (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
@@ -45,7 +46,8 @@ def parse_iso(text: Column) -> Column:
     extended = text
     for pattern, form in ISO_TO_EXTENDED:
         extended = F.regexp_replace(extended, pattern, form)
-    return F.when(text.rlike(ISO_PATTERN), extended.try_cast("timestamp"))
+    usual = F.when(text.rlike(EXTENDED_PATTERN), text.try_cast("timestamp"))
+    return usual.when(text.rlike(ISO_PATTERN), extended.try_cast("timestamp"))
 
 
 def from_epoch(number: Column) -> Column:

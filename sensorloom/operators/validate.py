@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.functions.once import compute_once
 from sensorloom.schema import EVENT_STATUSES, ROOM_ID_LENGTH, ROOM_STATUSES, SENSOR_TYPES
 
 BAD_REQUEST = "bad_request"
@@ -77,7 +78,7 @@ def reject_class(reason_list: Column) -> Column:
 
 def _with_reasons(df: DataFrame, reason_list: Column) -> DataFrame:
     return (
-        df.withColumn("_reasons", reason_list)
+        compute_once(df, {"_reasons": reason_list})
         .withColumns(
             {
                 "reject_class": reject_class(F.col("_reasons")),
@@ -118,7 +119,11 @@ def check_parsed(
     domain = [p for p in typed if not p[0].startswith("missing:")]
     unparsed = F.col("parse_problems") != ""
     bad = unparsed | any_problem(domain)
-    every = F.concat_ws(",", F.nullif(F.col("parse_problems"), F.lit("")), F.nullif(reasons(domain), F.lit("")))
+    every = F.concat_ws(
+        ",",
+        F.when(unparsed, F.col("parse_problems")),
+        *[F.when(_holds(problem), code) for code, problem in domain],
+    )
     accepted = parsed.filter(~bad).drop("parse_problems")
     rejected = _with_reasons(parsed.filter(bad), every).drop("parse_problems")
     return accepted, rejected

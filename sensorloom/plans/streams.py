@@ -1 +1,140 @@
-"""Streaming plans."""
+"""Streaming queries, run to the end of the given tables and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensorloom.operators import state
+from sensorloom.operators.enrich import enrich
+from sensorloom.operators.validate import accept
+from sensorloom.plans import query
+from sensorloom.plans.devices import ADMIT, MESSAGES
+from sensorloom.plans.rooms import FLAT_ROOM
+from sensorloom.plans.sql import EPOCH, LOG, REGISTRY, ROOMS
+from sensorloom.session import scratch_path, use_utc
+from sensorloom.sources import tables
+from sensorloom.streaming import admission, pipeline, sinks, timers
+
+ONCE = {"availableNow": True}
+
+
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = tables.table(spark, sf, "events").schema
+    return use_utc(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def reading_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.as_readings(event_stream(spark, sf))
+
+
+def naive(df: DataFrame) -> DataFrame:
+    """Instants without a zone, as the given tables have them."""
+    stamps = [f.name for f in df.schema if f.dataType.typeName() == "timestamp"]
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps})
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    spark = stream.sparkSession
+    root = scratch_path(spark, name)
+    sinks.append_rows(stream, f"{root}/rows", f"{root}/checkpoint", **ONCE).awaitTermination()
+    return naive(spark.read.schema(stream.schema).parquet(f"{root}/rows"))
+
+
+@query("stream_room_state", f"WITH {ROOMS} SELECT {FLAT_ROOM} FROM rooms")
+def stream_room_state(spark, sf):
+    """Ingest to the log, then rooms from the log: two queries with their own checkpoints."""
+    root = scratch_path(spark, "rooms")
+    keep = [f.name for f in pipeline.EVENT_SCHEMA] + ["detected_status"]
+    log = pipeline.accepted_stream(reading_stream(spark, sf)).select(*keep)
+    sinks.append_log(log, f"{root}/log", f"{root}/checkpoints/log", **ONCE).awaitTermination()
+    pipeline.start_rooms(spark, root, **ONCE).awaitTermination()
+    table = sinks.StateTable(spark, f"{root}/rooms", ["room_id"])
+    return naive(state.flat_state(table.read()))
+
+
+@query(
+    "stream_dedup",
+    f"""WITH {LOG} SELECT room_id || '_' || {EPOCH} || '_' || sensor_type AS event_id, room_id, sensor_type, value, ts
+    FROM log""",
+)
+def stream_dedup(spark, sf):
+    """Each reading arrives one to three times without an id."""
+    copies = F.sequence(F.lit(0), (F.col("event_id").cast("bigint") % 3).cast("int"))
+    sent = reading_stream(spark, sf).withColumn("_copy", F.explode(copies))
+    sent = sent.withColumn("event_id", F.lit(None).cast("string")).drop("_copy")
+    columns = ["event_id", "room_id", "sensor_type", "value", "ts"]
+    return drained(pipeline.accepted_stream(sent).select(*columns), "dedup")
+
+
+# A stream closes what lies before its watermark: the newest event less one hour, in whole milliseconds.
+WATERMARK = "w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS w FROM {})"
+
+
+@query(
+    "stream_rolling_alerts",
+    f"""WITH {LOG}, {WATERMARK.format("log WHERE status <> 'normal'")},
+    m AS (SELECT room_id, date_trunc('minute', ts)::TIMESTAMP + INTERVAL 1 MINUTE AS e, count(*) AS n FROM log
+      WHERE status <> 'normal' GROUP BY ALL),
+    closed AS (SELECT m.* FROM m, w WHERE e <= w),
+    steps AS (SELECT room_id, e, n FROM closed UNION ALL SELECT room_id, e + INTERVAL 24 HOUR, -n FROM closed),
+    s AS (SELECT room_id, e, sum(n) AS n FROM steps GROUP BY ALL),
+    r AS (SELECT room_id, e, CAST(sum(n) OVER (PARTITION BY room_id ORDER BY e) AS BIGINT) AS anomalies_in_span FROM s)
+    SELECT room_id, e AS "at", anomalies_in_span FROM r, w WHERE e <= w""",
+)
+def stream_rolling_alerts(spark, sf):
+    # The watermark is the one of the anomalies: the filter comes before it.
+    log = enriched_stream(spark, sf).filter(state.is_anomaly())
+    with timers.rocksdb(spark):
+        return drained(timers.rolling_counts(pipeline.timed(log)), "rolling")
+
+
+def enriched_stream(spark, sf):
+    return pipeline.classify(enrich(accept(reading_stream(spark, sf))))
+
+
+SILENT = 6 * 3600
+
+
+@query(
+    "stream_silent_rooms",
+    f"""WITH {LOG}, {WATERMARK.format("log")},
+    m AS (SELECT DISTINCT room_id, date_trunc('minute', ts)::TIMESTAMP + INTERVAL 1 MINUTE AS e FROM log),
+    closed AS (SELECT m.*, w FROM m, w WHERE e <= w),
+    g AS (SELECT *, lead(e) OVER (PARTITION BY room_id ORDER BY e) AS nxt FROM closed)
+    SELECT room_id, 'offline' AS status, e + INTERVAL {SILENT} SECOND AS at FROM g
+      WHERE nxt - e > INTERVAL {SILENT} SECOND OR (nxt IS NULL AND e + INTERVAL {SILENT} SECOND <= w)
+    UNION ALL SELECT room_id, 'active', nxt FROM g WHERE nxt - e > INTERVAL {SILENT} SECOND""",
+)
+def stream_silent_rooms(spark, sf):
+    with timers.rocksdb(spark):
+        return drained(timers.silent_rooms(pipeline.timed(enriched_stream(spark, sf)), SILENT), "silent")
+
+
+def message_stream(spark, sf):
+    return tables.as_messages(event_stream(spark, sf)).select("message_id", "device_id", "ts")
+
+
+@query(
+    "stream_rate_limit",
+    f"""WITH {REGISTRY}, {MESSAGES}, {WATERMARK.format("messages")}, c AS (SELECT device_id,
+      date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS request_count FROM messages GROUP BY ALL)
+    SELECT c.*, CAST(CASE tier WHEN 'free' THEN 1000 ELSE 10000 END AS BIGINT) AS "limit",
+      CAST(CASE tier WHEN 'free' THEN 1000 ELSE 10000 END - request_count AS BIGINT) AS remaining, false AS exceeded
+    FROM c JOIN registry r ON c.device_id = r.device_id, w WHERE window_start + INTERVAL 1 HOUR <= w""",
+)
+def stream_rate_limit(spark, sf):
+    registry = tables.device_registry(spark, sf)
+    return drained(pipeline.closed_hours(message_stream(spark, sf), registry), "limits")
+
+
+@query(
+    "stream_admission",
+    f"""WITH {MESSAGES} SELECT message_id, device_id, ts, row_number() OVER (PARTITION BY device_id, date_trunc('hour', ts)
+    ORDER BY ts, message_id) AS number, row_number() OVER (PARTITION BY device_id, date_trunc('hour', ts)
+    ORDER BY ts, message_id) <= {ADMIT} AS admitted FROM messages""",
+)
+def stream_admission(spark, sf):
+    root = scratch_path(spark, "admission")
+    admission.start_admission(spark, message_stream(spark, sf), root, ADMIT, **ONCE).awaitTermination()
+    return spark.read.parquet(f"{root}/decisions").drop("batch")

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorloom.functions.once import compute_once
 from sensorloom.functions.times import from_epoch, parse_iso
 from sensorloom.schema import EVENT_SCHEMA, REQUIRED_FIELDS
 
 # Fixed value: decimal number text; suffixes such as "1f" are not numbers.
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 NON_FINITE_PATTERN = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
-NUMERIC_KINDS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+NUMERIC_KINDS = ("BIGINT", "DOUBLE", "FLOAT")
 
 
 def read_bodies(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -36,18 +37,10 @@ def read_events(
 FIELDS = (*REQUIRED_FIELDS, "event_id", "unit", "status")
 
 
-def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are computed once a row.
-
-    A filter pushed through a projection repeats what it refers to. It does not pass a
-    generated row, so the parsing done here is not repeated.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))))
-
-
 def _typed(field: str, kind: Column, text: Column) -> Column:
     """The field in its type from its JSON kind and text; null when it does not fit."""
-    is_text, is_number = kind == "STRING", kind.rlike(NUMERIC_KINDS)
+    is_text = kind == "STRING"
+    is_number = kind.isin(*NUMERIC_KINDS) | kind.startswith("DECIMAL")
     if field == "value":
         return (
             F.when(is_number, text.try_cast("double"))
@@ -70,22 +63,25 @@ def parse_bodies(df: DataFrame, body: str = "body") -> DataFrame:
     """
     mark = F.crc32(F.col(body).cast("binary"))
     doc = F.try_parse_json(F.concat(F.lit("["), F.col(body), F.lit(","), mark.cast("string"), F.lit("]")))
-    parsed = _once(df.withColumn("_mark", mark), {"_list": doc})
+    parsed = compute_once(df.withColumn("_mark", mark), {"_list": doc})
 
     def item(path: str, kind: str) -> Column:
         return F.try_variant_get("_list", path, kind)
 
     whole = (item("$[1]", "bigint") == F.col("_mark")) & item("$[2]", "variant").isNull()
-    parsed = _once(parsed, {"_doc": F.when(whole, item("$[0]", "variant"))})
-
     # The kind is null when the key is absent and VOID for an explicit null.
-    cells = {"_root": F.schema_of_variant("_doc")}
+    first = F.substring(F.ltrim(F.col(body), F.lit(" \t\r\n")), 1, 1)
+    cells = {"_root": F.when(whole, first)}
     for f in FIELDS:
-        cells[f"_k_{f}"] = F.schema_of_variant(F.try_variant_get("_doc", f"$.{f}", "variant"))
-        cells[f"_t_{f}"] = F.try_variant_get("_doc", f"$.{f}", "string")
-    cells = _once(parsed, cells)
+        cells[f"_k_{f}"] = F.schema_of_variant(item(f"$[0].{f}", "variant"))
+        cells[f"_t_{f}"] = item(f"$[0].{f}", "string")
+    cells = compute_once(parsed, cells)
     column = {f: "ts" if f == "timestamp" else f for f in FIELDS}
-    values = _once(cells, {column[f]: _typed(f, F.col(f"_k_{f}"), F.col(f"_t_{f}")) for f in FIELDS})
+    readable = F.col("_root").isNotNull()
+    values = compute_once(
+        cells,
+        {column[f]: F.when(readable, _typed(f, F.col(f"_k_{f}"), F.col(f"_t_{f}"))) for f in FIELDS},
+    )
 
     required = [
         check
@@ -100,12 +96,12 @@ def parse_bodies(df: DataFrame, body: str = "body") -> DataFrame:
         F.when(~F.col(f"_k_{f}").isin("STRING", "VOID"), f"{f}:invalid") for f in ("event_id", "unit")
     ] + [F.when(F.col("_k_status") != "STRING", "status:invalid")]
     # Lists and texts hold no keys; other scalars cannot be asked for keys at all.
-    keyed = F.col("_root").rlike("^(OBJECT|ARRAY|STRING)")
+    keyed = F.col("_root").isin("{", "[", '"')
     problems = (
         F.when(F.col(body).isNull() | (F.col(body) == ""), "body:empty")
         .when(F.col("_root").isNull(), "body:malformed")
         .when(~keyed, "internal:body_is_a_scalar")
         .otherwise(F.concat_ws(",", *required, *optional))
     )
-    helpers = ["_list", "_doc", "_mark", "_root", *[f"_{p}_{f}" for f in FIELDS for p in ("k", "t")]]
+    helpers = ["_list", "_mark", "_root", *[f"_{p}_{f}" for f in FIELDS for p in ("k", "t")]]
     return values.withColumn("parse_problems", problems).drop(*helpers)

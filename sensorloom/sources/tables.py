@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom.functions.once import compute_once
 from sensorloom.session import use_utc
 
 # How the generic event table is read as sensor data. "error" has no sensor,
@@ -40,18 +41,19 @@ def as_readings(events: DataFrame) -> DataFrame:
         .when(kind == "signup", F.floor(value % 2).cast("double"))
         .otherwise(value)
     )
-    return events.select(
+    given = events.select(
         F.col("event_id").cast("string").alias("event_id"),
         F.concat(
             F.lit("room-"), F.lpad((F.col("user_id") % ROOMS).cast("string"), 3, "0")
         ).alias("room_id"),
         F.col("user_id").alias("device_id"),
-        _sensor_of(kind).alias("sensor_type"),
-        reading.alias("value"),
         "ts",
         F.lit(None).cast("string").alias("status"),
         F.lit(None).cast("string").alias("unit"),
+        "event_type",
+        "value",
     )
+    return compute_once(given, {"sensor_type": _sensor_of(kind), "value": reading}).drop("event_type")
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +89,11 @@ def device_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_messages(table(spark, sf_dir, "events"))
+
+
+def as_messages(events: DataFrame) -> DataFrame:
     """Device messages: a payload map with the sensor value and the number in ``props``."""
-    events = table(spark, sf_dir, "events")
     k = F.from_json("props", "k double")["k"]
     status = (
         F.when(F.col("event_type") == "error", "failed")

@@ -1,0 +1,83 @@
+"""Ingest and state as separate streaming queries over one accepted log."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from sensorloom.operators.classify import classify
+from sensorloom.operators.devices import hourly_usage
+from sensorloom.operators.enrich import enrich
+from sensorloom.operators.state import fold_rooms
+from sensorloom.operators.validate import any_problem, accept, event_problems, reject
+from sensorloom.schema import EVENT_SCHEMA
+from sensorloom.streaming.sinks import StateTable, append_log, append_rows, each_batch
+
+LATENESS = "1 hour"
+
+
+def timed(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Event time as TIMESTAMP with a watermark, which streams need."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+
+
+def observed(readings: DataFrame, name: str = "ingest") -> DataFrame:
+    """Count accepted and rejected readings on the way; see ``observedMetrics`` of the progress."""
+    bad = any_problem(event_problems())
+    return readings.observe(
+        name, F.count("*").alias("total"), F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("rejected")
+    )
+
+
+def accepted_stream(readings: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Accepted, enriched, classified readings, each id once within the lateness bound."""
+    log = classify(enrich(accept(timed(readings, lateness))))
+    return log.dropDuplicatesWithinWatermark(["event_id"])
+
+
+def log_stream(spark: SparkSession, path: str, lateness: str = LATENESS) -> DataFrame:
+    """The accepted log as a stream, for the queries downstream of it."""
+    schema = EVENT_SCHEMA.add("detected_status", "string").add("event_date", "date")
+    return spark.readStream.schema(schema).parquet(path).withWatermark("ts", lateness)
+
+
+def room_states(log: DataFrame, table: StateTable, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep the room table current. The fold lives in the state store, one row per room."""
+    return each_batch(fold_rooms(log), table.merge, checkpoint, "update", **trigger)
+
+
+def closed_hours(messages: DataFrame, registry: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Rate-limit counters of hours that can no longer change."""
+    return hourly_usage(timed(messages, lateness), registry)
+
+
+@dataclass
+class Running:
+    log: StreamingQuery
+    rejects: StreamingQuery
+    rooms: StreamingQuery
+
+    def all(self) -> list[StreamingQuery]:
+        return [self.log, self.rejects, self.rooms]
+
+
+def start(spark: SparkSession, readings: DataFrame, root: str, **trigger) -> Running:
+    """Start ingest, rejects and room state.
+
+    Each query has its own checkpoint: if the room query fails, events are still accepted,
+    and the room query catches up from the log when it is started again.
+    """
+    keep = [f.name for f in EVENT_SCHEMA] + ["detected_status"]
+    log = append_log(
+        accepted_stream(observed(readings)).select(*keep), f"{root}/log", f"{root}/checkpoints/log", **trigger
+    )
+    rejects = append_rows(reject(readings), f"{root}/rejects", f"{root}/checkpoints/rejects", **trigger)
+    return Running(log, rejects, start_rooms(spark, root, **trigger))
+
+
+def start_rooms(spark: SparkSession, root: str, **trigger) -> StreamingQuery:
+    table = StateTable(spark, f"{root}/rooms", ["room_id"])
+    return room_states(log_stream(spark, f"{root}/log"), table, f"{root}/checkpoints/rooms", **trigger)
