@@ -12,6 +12,7 @@ from sensorloom.plans import query
 from sensorloom.plans.devices import ADMIT, MESSAGES
 from sensorloom.plans.rooms import FLAT_ROOM
 from sensorloom.plans.sql import EPOCH, LOG, REGISTRY, ROOMS
+from sensorloom.schema import LOG_FIELDS
 from sensorloom.session import scratch_path, use_utc
 from sensorloom.sources import tables
 from sensorloom.streaming import admission, pipeline, sinks, timers
@@ -45,8 +46,7 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 def stream_room_state(spark, sf):
     """Ingest to the log, then rooms from the log: two queries with their own checkpoints."""
     root = scratch_path(spark, "rooms")
-    keep = [f.name for f in pipeline.EVENT_SCHEMA] + ["detected_status"]
-    log = pipeline.accepted_stream(reading_stream(spark, sf)).select(*keep)
+    log = pipeline.accepted_stream(reading_stream(spark, sf)).select(*LOG_FIELDS)
     sinks.append_log(log, f"{root}/log", f"{root}/checkpoints/log", **ONCE).awaitTermination()
     pipeline.start_rooms(spark, root, **ONCE).awaitTermination()
     table = sinks.StateTable(spark, f"{root}/rooms", ["room_id"])

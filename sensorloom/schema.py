@@ -59,6 +59,16 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 
+# What the accepted log holds; it is partitioned by ``event_date``.
+LOG_SCHEMA = T.StructType(
+    [
+        *EVENT_SCHEMA.fields,
+        T.StructField("detected_status", T.StringType()),
+        T.StructField("event_date", T.DateType()),
+    ]
+)
+LOG_FIELDS = tuple(f for f in LOG_SCHEMA.fieldNames() if f != "event_date")
+
 ROOM_STATE = T.StructType(
     [
         T.StructField("temperature", T.DoubleType()),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.schema import EVENT_SCHEMA
+from sensorloom.schema import LOG_SCHEMA
 
 
 def with_event_date(df: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def read_log(
 
     Pruning does not follow from a filter on ``ts``, so the date predicate is added here.
     """
-    log = spark.read.schema(EVENT_SCHEMA.add("event_date", "date")).parquet(path)
+    log = spark.read.schema(LOG_SCHEMA).parquet(path)
     for text, keep in ((start, "__ge__"), (end, "__le__")):
         if text is not None:
             instant = F.lit(text).cast("timestamp")

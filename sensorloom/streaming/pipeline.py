@@ -13,7 +13,7 @@ from sensorloom.operators.devices import hourly_usage
 from sensorloom.operators.enrich import enrich
 from sensorloom.operators.state import fold_rooms
 from sensorloom.operators.validate import any_problem, accept, event_problems, reject
-from sensorloom.schema import EVENT_SCHEMA
+from sensorloom.schema import LOG_FIELDS, LOG_SCHEMA
 from sensorloom.streaming.sinks import StateTable, append_log, append_rows, each_batch
 
 LATENESS = "1 hour"
@@ -40,8 +40,7 @@ def accepted_stream(readings: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 def log_stream(spark: SparkSession, path: str, lateness: str = LATENESS) -> DataFrame:
     """The accepted log as a stream, for the queries downstream of it."""
-    schema = EVENT_SCHEMA.add("detected_status", "string").add("event_date", "date")
-    return spark.readStream.schema(schema).parquet(path).withWatermark("ts", lateness)
+    return spark.readStream.schema(LOG_SCHEMA).parquet(path).withWatermark("ts", lateness)
 
 
 def room_states(log: DataFrame, table: StateTable, checkpoint: str, **trigger) -> StreamingQuery:
@@ -70,9 +69,8 @@ def start(spark: SparkSession, readings: DataFrame, root: str, **trigger) -> Run
     Each query has its own checkpoint: if the room query fails, events are still accepted,
     and the room query catches up from the log when it is started again.
     """
-    keep = [f.name for f in EVENT_SCHEMA] + ["detected_status"]
     log = append_log(
-        accepted_stream(observed(readings)).select(*keep), f"{root}/log", f"{root}/checkpoints/log", **trigger
+        accepted_stream(observed(readings)).select(*LOG_FIELDS), f"{root}/log", f"{root}/checkpoints/log", **trigger
     )
     rejects = append_rows(reject(readings), f"{root}/rejects", f"{root}/checkpoints/rejects", **trigger)
     return Running(log, rejects, start_rooms(spark, root, **trigger))
