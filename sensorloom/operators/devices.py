@@ -104,9 +104,17 @@ def hourly_usage(
 def bursts(
     messages: DataFrame, limit: int = BURST_PER_MINUTE, slide: str | None = None
 ) -> DataFrame:
-    """Devices and minutes with more than ``limit`` messages; ``slide`` gives sliding minutes."""
-    window = F.window("ts", "1 minute", slide) if slide else F.window("ts", "1 minute")
-    counts = messages.groupBy("device_id", window.alias("w")).agg(F.count("*").alias("n"))
+    """Devices and minutes with more than ``limit`` messages; ``slide`` gives sliding minutes.
+
+    For sliding minutes the messages are first counted per step of the slide, and only these
+    counts are copied into the minutes that overlap them.
+    """
+    if slide is None:
+        counts = messages.groupBy("device_id", F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n"))
+    else:
+        steps = messages.groupBy("device_id", F.window("ts", slide).alias("s")).agg(F.count("*").alias("_n"))
+        steps = steps.select("device_id", F.col("s.start").alias("at"), "_n")
+        counts = steps.groupBy("device_id", F.window("at", "1 minute", slide).alias("w")).agg(F.sum("_n").alias("n"))
     return counts.filter(F.col("n") > limit).select(
         "device_id", F.col("w.start").alias("window_start"), "n"
     )

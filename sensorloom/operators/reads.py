@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators.state import ORDER
 from sensorloom.schema import HISTORY_LIMIT, RECENT_EVENTS_LIMIT, ROOM_EVENTS_LIMIT, SENSOR_TYPES
 
-# Spark keeps a row_number limit map-side up to this many rows a group.
-GROUP_LIMIT = 1000
+# Groups of input partitions in which keys are ranked first.
 SPREAD = 64
 
 
@@ -66,20 +65,20 @@ def recent_per_key(
 ) -> DataFrame:
     """The newest ``limit`` events of every key, with their ``rank``.
 
-    Each map task forwards at most ``limit`` rows a key. Spark does so by itself for small
-    limits; above that the rows are first ranked in spread groups.
+    Ranked twice: first by key inside groups of input partitions, where each map task sends
+    on at most ``limit`` rows a key, then over what is left, at most ``SPREAD`` times
+    ``limit`` rows a key. So the number of input files does not weigh on the last task.
     """
     rows = events if start is None else events.filter(F.col("ts") >= start)
     newest = [F.col(c).desc() for c in order]
-    if limit > GROUP_LIMIT:
-        part = Window.partitionBy(key, "_part").orderBy(*newest)
-        rows = (
-            rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(SPREAD)))
-            .withColumn("_r", F.row_number().over(part))
-            .filter(F.col("_r") <= limit)
-            .drop("_part", "_r")
-        )
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*newest)))
+    near = Window.partitionBy(key, "_part").orderBy(*newest)
+    first = (
+        rows.withColumn("_part", F.spark_partition_id() % SPREAD)
+        .withColumn("rank", F.row_number().over(near))
+        .filter(F.col("rank") <= limit)
+        .drop("_part", "rank")
+    )
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*newest)))
     return ranked.filter(F.col("rank") <= limit)
 
 

@@ -22,22 +22,24 @@ def ordered_fold(
     *,
     sums: Mapping[str, Column] | None = None,
     totals: Mapping[str, str] | None = None,
-    lasts: Mapping[str, Column] | None = None,
-    priors: Mapping[str, Column] | None = None,
+    values: Mapping[str, Column] | None = None,
+    lasts: Mapping[str, str] | None = None,
+    priors: Mapping[str, str] | None = None,
     peers: bool = False,
 ) -> DataFrame:
     """Add running columns to ``df``; keys must not be null.
 
     ``slice_no`` must not decrease along ``order``. ``sums`` are running sums up to and with
     the row (``peers``: and all rows equal to it in ``order``); ``totals`` maps a new column
-    to the sum whose total over the key it holds. ``lasts`` are the latest non-null values up
-    to and with the row, ``priors`` those strictly before it.
+    to the sum whose total over the key it holds. ``lasts`` maps a new column to the latest
+    non-null of one of the ``values`` up to and with the row, ``priors`` to the one strictly
+    before it.
     """
-    sums, totals, lasts, priors = dict(sums or {}), dict(totals or {}), dict(lasts or {}), dict(priors or {})
-    latest = {**lasts, **priors}
+    sums, totals, values = dict(sums or {}), dict(totals or {}), dict(values or {})
+    lasts, priors = dict(lasts or {}), dict(priors or {})
     cell = [*keys, "_slice"]
     inputs = {"_slice": slice_no}
-    inputs.update({f"_in_{n}": e for n, e in {**sums, **latest}.items()})
+    inputs.update({f"_in_{n}": e for n, e in {**sums, **values}.items()})
     rows = df.withColumns(inputs)
 
     position = F.struct(*order)
@@ -45,7 +47,7 @@ def ordered_fold(
         *[F.sum(f"_in_{n}").alias(f"_in_{n}") for n in sums],
         *[
             F.max_by(f"_in_{n}", F.when(F.col(f"_in_{n}").isNotNull(), position)).alias(f"_in_{n}")
-            for n in latest
+            for n in values
         ],
     )
     whole = Window.partitionBy(*keys)
@@ -53,7 +55,7 @@ def ordered_fold(
     carried = summary.select(
         *cell,
         *[F.sum(f"_in_{n}").over(earlier).alias(f"_carry_{n}") for n in sums],
-        *[F.last(f"_in_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in latest],
+        *[F.last(f"_in_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in values],
         *[F.sum(f"_in_{n}").over(whole).alias(t) for t, n in totals.items()],
     )
 
@@ -65,17 +67,16 @@ def ordered_fold(
     )
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = {f"_own_{n}": F.sum(f"_in_{n}").over(upto) for n in sums}
-    local.update({f"_own_{n}": F.last(f"_in_{n}", ignorenulls=True).over(upto) for n in lasts})
-    local.update({f"_own_{n}": F.last(f"_in_{n}", ignorenulls=True).over(before) for n in priors})
+    for frame, columns in ((upto, lasts), (before, priors)):
+        local.update({f"_own_{c}": F.last(f"_in_{v}", ignorenulls=True).over(frame) for c, v in columns.items()})
 
     joined = rows.withColumns(local).join(carried, cell, "left")
+    latest = {**lasts, **priors}
     kept = [c for c in df.columns if c not in sums and c not in latest]
+    zero = F.lit(0)
     return joined.select(
         *kept,
-        *[
-            (F.coalesce(F.col(f"_own_{n}"), F.lit(0)) + F.coalesce(F.col(f"_carry_{n}"), F.lit(0))).alias(n)
-            for n in sums
-        ],
-        *[F.coalesce(f"_own_{n}", f"_carry_{n}").alias(n) for n in latest],
+        *[(F.coalesce(f"_own_{n}", zero) + F.coalesce(f"_carry_{n}", zero)).alias(n) for n in sums],
+        *[F.coalesce(f"_own_{c}", f"_carry_{v}").alias(c) for c, v in latest.items()],
         *totals,
     )

@@ -157,8 +157,9 @@ def room_changes(
         list(order),
         time_chunk(F.col("ts"), slice_seconds),
         sums={"new_count": is_anomaly().cast("int")},
-        lasts={f"new_{n}": e for n, e in images.items()},
-        priors={**{f"old_{n}": e for n, e in images.items()}, "old_update": F.col("ts")},
+        values={**images, "update": F.col("ts")},
+        lasts={f"new_{n}": n for n in images},
+        priors={f"old_{n}": n for n in (*images, "update")},
     )
     exists = F.col("old_update").isNotNull()
 
@@ -189,7 +190,7 @@ def event_changes(
 ) -> DataFrame:
     """Old and new image of a keyed table for every put, in put order."""
     folded = ordered_fold(
-        puts, list(key), list(order), slice_no, priors={"old_image": F.struct(*image)}
+        puts, list(key), list(order), slice_no, values={"image": F.struct(*image)}, priors={"old_image": "image"}
     )
     return folded.withColumn("new_image", F.struct(*image)).withColumn(
         "change", F.when(F.col("old_image").isNotNull(), "MODIFY").otherwise("INSERT")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.operators import state
+from sensorloom.operators.classify import classify
 from sensorloom.operators.enrich import enrich
 from sensorloom.operators.validate import accept
 from sensorloom.plans import query
@@ -15,7 +16,7 @@ from sensorloom.plans.sql import EPOCH, LOG, REGISTRY, ROOMS
 from sensorloom.schema import LOG_FIELDS
 from sensorloom.session import scratch_path, use_utc
 from sensorloom.sources import tables
-from sensorloom.streaming import admission, pipeline, sinks, timers
+from sensorloom.streaming import admission, ingest, sinks, timers
 
 ONCE = {"availableNow": True}
 
@@ -46,9 +47,9 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 def stream_room_state(spark, sf):
     """Ingest to the log, then rooms from the log: two queries with their own checkpoints."""
     root = scratch_path(spark, "rooms")
-    log = pipeline.accepted_stream(reading_stream(spark, sf)).select(*LOG_FIELDS)
+    log = ingest.accepted_stream(reading_stream(spark, sf)).select(*LOG_FIELDS)
     sinks.append_log(log, f"{root}/log", f"{root}/checkpoints/log", **ONCE).awaitTermination()
-    pipeline.start_rooms(spark, root, **ONCE).awaitTermination()
+    ingest.start_rooms(spark, root, **ONCE).awaitTermination()
     table = sinks.StateTable(spark, f"{root}/rooms", ["room_id"])
     return naive(state.flat_state(table.read()))
 
@@ -64,7 +65,7 @@ def stream_dedup(spark, sf):
     sent = reading_stream(spark, sf).withColumn("_copy", F.explode(copies))
     sent = sent.withColumn("event_id", F.lit(None).cast("string")).drop("_copy")
     columns = ["event_id", "room_id", "sensor_type", "value", "ts"]
-    return drained(pipeline.accepted_stream(sent).select(*columns), "dedup")
+    return drained(ingest.accepted_stream(sent).select(*columns), "dedup")
 
 
 # A stream closes what lies before its watermark: the newest event less one hour, in whole milliseconds.
@@ -86,11 +87,11 @@ def stream_rolling_alerts(spark, sf):
     # The watermark is the one of the anomalies: the filter comes before it.
     log = enriched_stream(spark, sf).filter(state.is_anomaly())
     with timers.rocksdb(spark):
-        return drained(timers.rolling_counts(pipeline.timed(log)), "rolling")
+        return drained(timers.rolling_counts(ingest.timed(log)), "rolling")
 
 
 def enriched_stream(spark, sf):
-    return pipeline.classify(enrich(accept(reading_stream(spark, sf))))
+    return classify(enrich(accept(reading_stream(spark, sf))))
 
 
 SILENT = 6 * 3600
@@ -108,7 +109,7 @@ SILENT = 6 * 3600
 )
 def stream_silent_rooms(spark, sf):
     with timers.rocksdb(spark):
-        return drained(timers.silent_rooms(pipeline.timed(enriched_stream(spark, sf)), SILENT), "silent")
+        return drained(timers.silent_rooms(ingest.timed(enriched_stream(spark, sf)), SILENT), "silent")
 
 
 def message_stream(spark, sf):
@@ -125,7 +126,7 @@ def message_stream(spark, sf):
 )
 def stream_rate_limit(spark, sf):
     registry = tables.device_registry(spark, sf)
-    return drained(pipeline.closed_hours(message_stream(spark, sf), registry), "limits")
+    return drained(ingest.closed_hours(message_stream(spark, sf), registry), "limits")
 
 
 @query(
@@ -137,4 +138,4 @@ def stream_rate_limit(spark, sf):
 def stream_admission(spark, sf):
     root = scratch_path(spark, "admission")
     admission.start_admission(spark, message_stream(spark, sf), root, ADMIT, **ONCE).awaitTermination()
-    return spark.read.parquet(f"{root}/decisions").drop("batch")
+    return spark.read.parquet(f"{root}/decisions").drop("batch", "window_no")

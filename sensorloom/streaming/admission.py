@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sensorloom.functions.times import time_chunk
 from sensorloom.operators.devices import HOUR, admission
-from sensorloom.session import durable
 from sensorloom.streaming.sinks import StateTable, each_batch
 
 KEY = ["device_id", "window_no"]
@@ -39,8 +38,10 @@ def start_admission(
             used = before.select(*KEY, F.col("used").alias("_used"))
             rows = rows.join(used, KEY, "left").withColumn("number", F.col("number") + F.coalesce("_used", F.lit(0)))
             rows = rows.withColumn("admitted", F.col("number") <= limit).drop("_used")
-        rows = durable(rows)
-        rows.drop("window_no").write.mode("overwrite").parquet(f"{root}/decisions/batch={batch_id}")
+        decided = f"{root}/decisions/batch={batch_id}"
+        rows.write.mode("overwrite").parquet(decided)
+        # The counters follow from what was written, not from a second run of the batch.
+        rows = spark.read.schema(rows.schema).parquet(decided)
         now = rows.groupBy(*KEY).agg(F.max("number").alias("used"))
         if before is not None:
             now = before.unionByName(now).groupBy(*KEY).agg(F.max("used").alias("used"))

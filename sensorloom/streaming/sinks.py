@@ -53,10 +53,16 @@ class StateTable:
     def merge(self, changed: DataFrame, batch_id: int) -> None:
         """Rows of ``changed`` replace those with the same key."""
         current = self.read(before=batch_id)
-        if current is not None:
-            keyed = changed.withColumn("_key", F.struct(*self.key))
-            changed = upsert(current.withColumn("_key", F.struct(*self.key)), keyed, "_key").drop("_key")
-        self.write(changed, batch_id)
+        if current is None:
+            self.write(changed, batch_id)
+            return
+        # Used twice below; without this the micro-batch would run twice.
+        changed = changed.withColumn("_key", F.struct(*self.key)).persist()
+        try:
+            merged = upsert(current.withColumn("_key", F.struct(*self.key)), changed, "_key")
+            self.write(merged.drop("_key"), batch_id)
+        finally:
+            changed.unpersist()
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -86,7 +86,7 @@ def test_running_values(spark, rows, width):
     got = ordered_fold(
         df, ["k"], ["t", "i"], F.floor(F.col("t") / width),
         sums={"total": F.coalesce("v", F.lit(0))}, totals={"all": "total"},
-        lasts={"last": F.col("v")}, priors={"prior": F.col("v")},
+        values={"v": F.col("v")}, lasts={"last": "v"}, priors={"prior": "v"},
     )
     for r in dicts(got):
         mine = sorted((d for d in data if d[0] == r["k"]), key=lambda d: d[1:3])

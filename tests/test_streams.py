@@ -5,9 +5,11 @@ from helpers import at, dicts, event_row, events
 from pyspark.sql import functions as F
 
 from sensorloom.operators import devices, ingest, state
+from sensorloom.operators.classify import classify
 from sensorloom.schema import EVENT_SCHEMA, LOG_FIELDS
 from sensorloom.sources.raw import read_bodies, read_events
-from sensorloom.streaming import admission, pipeline, sinks, timers
+from sensorloom.streaming import admission, sinks, timers
+from sensorloom.streaming import ingest as ingest_stream
 from sensorloom.streaming.sinks import StateTable
 
 ONCE = {"availableNow": True}
@@ -43,16 +45,16 @@ def rooms(spark, root):
     return sorted(map(str, dicts(StateTable(spark, f"{root}/rooms", ["room_id"]).read())))
 
 
-def test_pipeline_over_batches_and_restarts(spark, tmp_path):
+def test_ingest_over_batches_and_restarts(spark, tmp_path):
     root, folder = str(tmp_path / "out"), str(tmp_path / "in")
     source(spark, folder, ROWS[:3])
     # The log has to exist before it is read as a stream.
-    finish(pipeline.start(spark, source(spark, folder, ROWS[3:6]), root, **ONCE))
-    pipeline.start_rooms(spark, root, **ONCE).awaitTermination()
+    finish(ingest_stream.start(spark, source(spark, folder, ROWS[3:6]), root, **ONCE))
+    ingest_stream.start_rooms(spark, root, **ONCE).awaitTermination()
     assert rooms(spark, root) == expected_rooms(spark, ROWS[:6])
     # New files, all queries started again from their checkpoints.
-    finish(pipeline.start(spark, source(spark, folder, ROWS[6:]), root, **ONCE))
-    pipeline.start_rooms(spark, root, **ONCE).awaitTermination()
+    finish(ingest_stream.start(spark, source(spark, folder, ROWS[6:]), root, **ONCE))
+    ingest_stream.start_rooms(spark, root, **ONCE).awaitTermination()
     assert rooms(spark, root) == expected_rooms(spark, ROWS)
     log = spark.read.parquet(f"{root}/log")
     assert sorted(r["event_id"] for r in dicts(log)) == ["1", "2", "4", "5", "6", "7"]
@@ -61,7 +63,7 @@ def test_pipeline_over_batches_and_restarts(spark, tmp_path):
 
 def test_room_failure_does_not_stop_events(spark, tmp_path, monkeypatch):
     root, folder = str(tmp_path / "out"), str(tmp_path / "in")
-    log = pipeline.accepted_stream(source(spark, folder, ROWS)).select(*LOG_FIELDS)
+    log = ingest_stream.accepted_stream(source(spark, folder, ROWS)).select(*LOG_FIELDS)
     sinks.append_log(log, f"{root}/log", f"{root}/checkpoints/log", **ONCE).awaitTermination()
 
     def broken(self, changed, batch_id):
@@ -69,10 +71,10 @@ def test_room_failure_does_not_stop_events(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(StateTable, "merge", broken)
     with pytest.raises(Exception, match="store is away"):
-        pipeline.start_rooms(spark, root, **ONCE).awaitTermination()
+        ingest_stream.start_rooms(spark, root, **ONCE).awaitTermination()
     assert spark.read.parquet(f"{root}/log").count() == 6
     monkeypatch.undo()
-    pipeline.start_rooms(spark, root, **ONCE).awaitTermination()
+    ingest_stream.start_rooms(spark, root, **ONCE).awaitTermination()
     assert rooms(spark, root) == expected_rooms(spark, ROWS)
 
 
@@ -90,7 +92,7 @@ def test_state_table_replay(spark, tmp_path):
 
 def test_ingest_counts_are_observed(spark, tmp_path):
     readings = source(spark, str(tmp_path / "in"), ROWS)
-    query = sinks.append_rows(pipeline.observed(readings), str(tmp_path / "o"), str(tmp_path / "c"), **ONCE)
+    query = sinks.append_rows(ingest_stream.observed(readings), str(tmp_path / "o"), str(tmp_path / "c"), **ONCE)
     query.awaitTermination()
     seen = [p["observedMetrics"]["ingest"] for p in query.recentProgress if "ingest" in p["observedMetrics"]]
     assert [sum(m[k] for m in seen) for k in ("total", "accepted", "rejected")] == [8, 7, 1]
@@ -102,7 +104,7 @@ def test_rolling_counts(spark, tmp_path):
         rows = [event_row(f"{m}", "a", "temperature", 35, m) for m in part]
         src = source(spark, folder, rows + [event_row(f"q{part[0]}", "z", "temperature", 35, part[0])])
     with timers.rocksdb(spark):
-        log = pipeline.classify(pipeline.timed(src))
+        log = classify(ingest_stream.timed(src))
         counts = timers.rolling_counts(log)
         sinks.append_rows(counts, str(tmp_path / "o"), str(tmp_path / "c"), **ONCE).awaitTermination()
     got = {r["at"]: r["anomalies_in_span"] for r in dicts(spark.read.parquet(str(tmp_path / "o"))) if r["room_id"] == "a"}
@@ -119,7 +121,7 @@ def test_silence(spark, tmp_path):
         rows = [event_row(f"a{m}", "a", "motion", 1, m) for m in part] + [event_row(f"b{part[0]}", "b", "motion", 1, part[0])]
         src = source(spark, folder, rows)
     with timers.rocksdb(spark):
-        found = timers.silent_rooms(pipeline.timed(src))
+        found = timers.silent_rooms(ingest_stream.timed(src))
         sinks.append_rows(found, str(tmp_path / "o"), str(tmp_path / "c"), **ONCE).awaitTermination()
     got = sorted((r["at"], r["status"]) for r in dicts(spark.read.parquet(str(tmp_path / "o"))) if r["room_id"] == "a")
     assert got == [(at(116), "offline"), (at(201), "active"), (at(271), "offline")]
