@@ -28,5 +28,10 @@ def test_no_cross_join(spark, name):
 
 
 def test_flagship(spark):
-    df = entry.entry(spark)
-    assert df.count() == 20 and df.columns[0] == "room_id"
+    small = oracle.connect(entry.SMOKE_DIR)
+    assert oracle.compare(entry.entry(spark), small, entry.oracle_sql()[entry.FLAGSHIP]) == []
+
+
+def test_time_filters_reach_the_scan(spark):
+    plan = entry.queries()["analysis_slice"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [GreaterThanOrEqual(ts,2024-01-08T00:00), LessThan(ts,2024-01-15T00:00)" in plan

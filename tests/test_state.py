@@ -210,3 +210,15 @@ def test_slices_never_decrease(spark):
     df = spark.createDataFrame([(at(m),) for m in (-90, -1, 0, 1, 59, 60, 61)], "ts timestamp")
     got = [r[0] for r in df.orderBy("ts").select(time_chunk(F.col("ts"), 3600)).collect()]
     assert got == sorted(got) and len(set(got)) == 4
+
+
+def test_a_busy_room_is_spread_over_tasks(spark):
+    rows = [("a" if i % 3 else f"r{i % 50}", "temperature", 20 + i % 20, i) for i in range(3000)]
+    df = log(spark, rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        feed = state.room_changes(df).withColumn("_p", F.spark_partition_id())
+        sizes = [r["count"] for r in feed.groupBy("_p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 3000 and max(sizes) < 3000 * 0.4
