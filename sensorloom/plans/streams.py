@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +38,23 @@ def naive(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in stamps})
 
 
+@contextmanager
+def one_state_store_per_core(spark: SparkSession):
+    """The number of state stores is fixed when a stream first starts; one per core is enough."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     root = scratch_path(spark, name)
-    sinks.append_rows(stream, f"{root}/rows", f"{root}/checkpoint", **ONCE).awaitTermination()
+    with one_state_store_per_core(spark):
+        sinks.append_rows(stream, f"{root}/rows", f"{root}/checkpoint", **ONCE).awaitTermination()
     return naive(spark.read.schema(stream.schema).parquet(f"{root}/rows"))
 
 
@@ -48,8 +63,9 @@ def stream_room_state(spark, sf):
     """Ingest to the log, then rooms from the log: two queries with their own checkpoints."""
     root = scratch_path(spark, "rooms")
     log = ingest.accepted_stream(reading_stream(spark, sf)).select(*LOG_FIELDS)
-    sinks.append_log(log, f"{root}/log", f"{root}/checkpoints/log", **ONCE).awaitTermination()
-    ingest.start_rooms(spark, root, **ONCE).awaitTermination()
+    with one_state_store_per_core(spark):
+        sinks.append_log(log, f"{root}/log", f"{root}/checkpoints/log", **ONCE).awaitTermination()
+        ingest.start_rooms(spark, root, **ONCE).awaitTermination()
     table = sinks.StateTable(spark, f"{root}/rooms", ["room_id"])
     return naive(state.flat_state(table.read()))
 
