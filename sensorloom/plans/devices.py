@@ -8,7 +8,7 @@ from sensorloom.functions.times import trunc_like
 from sensorloom.operators import devices, ingest, reads
 from sensorloom.plans import query
 from sensorloom.plans.rooms import newest
-from sensorloom.plans.sql import KIND, READINGS, REGISTRY, age
+from sensorloom.plans.sql import KIND, REGISTRY, age
 from sensorloom.sources import tables
 
 # Test limits: the documented tiers are never reached by the given devices.
