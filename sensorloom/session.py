@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,24 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, for code that runs in Python workers.
+
+    Spark's file server hands the archive out; executors need neither an installed copy nor a
+    shared disk for it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_sensorloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "sensorloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._sensorloom_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder, for tables and stream checkpoints."""
     return f"{shared_dir(spark).rstrip('/')}/sensorloom/{name}-{uuid.uuid4().hex}"
