@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import mixing, quality, warc
+from sensorloom.llm import embedding_join, mixing, ngram_join, quality, warc
 from sensorloom.llm.registry import query, read
 from sensorloom.session import durable
 
@@ -39,3 +39,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (quality.fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.ngram_components(read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query("op7_embedding_join")
+def op7_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels and a cosine of 0.98 or more."""
+    return embedding_join.embedding_components(read(spark, sf_dir, "embeddings"))

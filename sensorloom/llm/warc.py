@@ -9,7 +9,6 @@ a quarantined gap, so damage costs only the records it touches.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import uuid
 import zlib
@@ -17,6 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,39 +55,42 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataF
 def write_warc(records: DataFrame, uri: str, date: str = "2024-01-01T00:00:00Z", level: int = 1) -> DataFrame:
     """Write records under ``uri`` (a folder of a shared store); one manifest row per file.
 
-    A task writes under a temporary name and renames when a file is whole; only files of the
-    manifest count, so retries and lost executors leave nothing that is read.
+    A task writes into a hidden folder of its own and moves that to ``part-<partition>`` when
+    all its files are whole. Where an earlier attempt has done so, the later one's files stay
+    hidden; so each partition is read once, whatever was retried.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(uri)
-        fs.create_dir(folder, recursive=True)
-        sink = temp = final = None
-        size = count = 0
-        done: list[tuple[str, int]] = []
-
-        def close() -> None:
-            nonlocal sink, size, count
-            if sink is not None:
-                sink.close()
-                fs.move(temp, final)
-                done.append((os.path.basename(final), count))
-                sink, size, count = None, 0, 0
-
+        part = TaskContext.get().partitionId()
+        temp, final = f"{folder}/_{uuid.uuid4().hex}", f"{folder}/part-{part:06d}"
+        sink = None
+        size = 0
+        done: list[int] = []
         for batch in batches:
             for row in _rows(batch):
                 if sink is None:
-                    name = uuid.uuid4().hex
-                    temp, final = f"{folder}/_{name}.tmp", f"{folder}/{name}.warc.gz"
-                    sink = fs.open_output_stream(temp, compression=None)
+                    if not done:
+                        fs.create_dir(temp, recursive=True)
+                    sink = fs.open_output_stream(f"{temp}/{len(done):05d}.warc.gz", compression=None)
+                    done.append(0)
                 member = gzip_member(record_bytes(*row, date), level)
                 sink.write(member)
-                size, count = size + len(member), count + 1
+                size += len(member)
+                done[-1] += 1
                 if size >= FILE_BYTES:
-                    close()
-        close()
+                    sink.close()
+                    sink, size = None, 0
+        if sink is not None:
+            sink.close()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done]), pa.array([d[1] for d in done], pa.int64())], ["file", "records"])
+            try:
+                fs.move(temp, final)
+            except OSError:
+                if fs.get_file_info(final).type != pafs.FileType.Directory:
+                    raise
+            names = [f"part-{part:06d}/{i:05d}.warc.gz" for i in range(len(done))]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(done, pa.int64())], ["file", "records"])
 
     return records.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "file string, records long")
 
@@ -212,15 +215,14 @@ def _page(value: str | None) -> int | None:
     return int(match[1]) if match else None
 
 
-def read_warc(spark: SparkSession, uri: str, manifest: DataFrame | None = None) -> DataFrame:
-    """Records and gaps (``gap_start`` is not null) of all archives under ``uri``.
+def read_warc(spark: SparkSession, uri: str) -> DataFrame:
+    """Records and gaps (``gap_start`` is not null) of all archives under ``uri`` and its folders.
 
-    With a manifest, files it does not name are left out. One archive is one task's row, so
-    archives should stay well under 2 GB; the writer rolls them at 16 MB.
+    One archive is one task's row, so archives should stay well under 2 GB; the writer rolls
+    them at 16 MB. Hidden folders (of writers that did not finish) are passed over.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(uri).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    if manifest is not None:
-        files = files.join(manifest.select("file").distinct(), "file", "left_semi")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").option("recursiveFileLookup", "true")
+    files = reader.load(uri).select(F.col("path").alias("file"), "content")
 
     names = [part.split(" ")[0] for part in RECORD_SCHEMA.split(", ")]
     schema = pa.schema(
@@ -251,7 +253,7 @@ def archive_round_trip(pages: DataFrame, name: str = "warc") -> DataFrame:
     manifest = durable(write_warc(with_revisits(pages), _with_scheme(uri)))
     if manifest.isEmpty():
         return spark.createDataFrame([], RECORD_SCHEMA)
-    return read_warc(spark, uri, manifest)
+    return read_warc(spark, uri)
 
 
 def _with_scheme(uri: str) -> str:
