@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import embedding_join, mixing, ngram_join, quality, warc
+from sensorloom.llm import embedding_join, mixing, ngram_join, quality, token_files, warc
 from sensorloom.llm.registry import query, read
 from sensorloom.session import durable
 
@@ -51,3 +51,16 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors with equal labels and a cosine of 0.98 or more."""
     return embedding_join.embedding_components(read(spark, sf_dir, "embeddings"))
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    return token_files.token_files(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file; it must be on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
