@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import embedding_join, html_text, mixing, ngram_join, quality, token_files, warc
+from sensorloom.llm import embedding_join, html_text, mixing, ngram_join, quality, repeats, token_files, warc
 from sensorloom.llm.registry import query, read
 from sensorloom.session import durable
 
@@ -70,3 +70,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract_text(read(spark, sf_dir, "pages"))
+
+
+@query("op9_repeats")
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 100-byte strings that start earlier."""
+    cleaned = repeats.remove_repeats(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return cleaned.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
