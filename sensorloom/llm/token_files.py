@@ -1,8 +1,9 @@
 """Token ids in files: frequency-ranked, one to four bytes each, lengths in separate control bytes.
 
 The commonest id gets rank 0, so most ids take one byte. A control byte holds the lengths of
-four ids (two bits each); all control bytes of a chunk come before its data bytes, so numpy
-decodes a chunk by looking lengths up in a table of 256 rows and gathering bytes, without a loop.
+four ids of one document (two bits each, the last byte of a document may hold fewer); all
+control bytes of a chunk come before its data bytes, so numpy decodes a chunk by looking lengths
+up in a table of 256 rows and gathering bytes, without a loop.
 
 Chunk: magic ``FRVB``, then little-endian unsigned 64-bit numbers (documents, ids, data
 bytes, crc32 of all that follows), the documents' ids (signed 64-bit) and a byte each that is 0
@@ -13,11 +14,13 @@ for a null id, their id counts (unsigned 64-bit), control bytes, data bytes. The
 from __future__ import annotations
 
 import os
+import string
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,9 @@ CHUNK_IDS = 1 << 20
 FILE_BYTES = 16 << 20
 MAGIC = b"FRVB"
 HEAD = struct.Struct("<4s4Q")
-CACHED = 1 << 20
+SLOTS = 21
+CACHED_IDS = 1 << 23
+PRINTABLE, LETTER, PUNCTUATION = (np.isin(np.arange(256), [*map(ord, x)]) for x in (string.printable[:94], string.ascii_letters, string.punctuation))
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
 
 
@@ -44,9 +49,10 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 class Encoder:
     """A tokenizer with a cache of the ids of whole pieces of text.
 
-    A byte-level BPE splits before white space that follows other characters, so a text may be
-    cut there and each distinct piece encoded once. Cuts are made only before ASCII white space
-    and after a character that surely is none.
+    A byte-level BPE splits before white space that follows other characters and between a
+    letter and punctuation, so a text may be cut there and each distinct piece encoded once. Cuts
+    are made only where ASCII (before white space, also letters of two bytes) leaves no doubt. The
+    cache is a table of slots by hash; a new piece takes the slot of an older one.
     """
 
     def __init__(self, path: str):
@@ -55,12 +61,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.keys = np.zeros(1 << SLOTS, np.uint64)
+        self.first, self.size = np.zeros(1 << SLOTS, np.int32), np.zeros(1 << SLOTS, np.int32)
+        self.flat = np.zeros(CACHED_IDS, np.uint32)
+        self.used = 0
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and where each document's begin."""
@@ -68,47 +72,44 @@ class Encoder:
         end = np.append(start[1:], len(data))
         rolling = rolling_hash(2)
         keys = rolling.between(rolling.prefixes(data), start, end) + (end - start).astype(np.uint64)
-        distinct, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        place = self._find(distinct)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            if len(self.keys) + len(new) > CACHED:
-                self._clear()
-                new = np.arange(len(distinct))
+        slot = (keys >> np.uint64(64 - SLOTS)).astype(np.int64)
+        first, size = self.first[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        missing = np.flatnonzero(self.keys[slot] != keys)
+        flat = self.flat
+        if len(missing):
+            _, at, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
+            new = missing[at]
             raw = data.tobytes()
-            pieces = [raw[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist())]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-            self._add(distinct[new], coded)
-            place = self._find(distinct)
-        place = place[inverse]
-        size = self.size[place]
+            pieces = [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())]
+            sizes, ids = [], []
+            for i in range(0, len(pieces), 4096):
+                coded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+                ids.append(np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes[-1].sum())))
+            sizes, ids = np.concatenate(sizes), np.concatenate(ids)
+            if self.used + len(ids) > len(self.flat):
+                flat = np.concatenate([self.flat[: self.used], ids])  # for this call only
+                begin = self.used + np.cumsum(sizes) - sizes
+                self.keys[:] = 0
+                self.used = 0
+            else:
+                self.flat[self.used : self.used + len(ids)] = ids
+                begin = self.used + np.cumsum(sizes) - sizes
+                self.used += len(ids)
+                self.keys[slot[new]], self.first[slot[new]], self.size[slot[new]] = keys[new], begin, sizes
+            first[missing], size[missing] = begin[inverse], sizes[inverse]
         before = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(self.first[place] - before[:-1], size) + np.arange(before[-1])]
+        ids = flat[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
         return ids, before[np.searchsorted(start, offsets)]
 
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[place] == keys, place, -1)
-
-    def _add(self, keys: np.ndarray, coded: list[list[int]]) -> None:
-        size = np.fromiter(map(len, coded), np.int64, len(coded))
-        first = len(self.flat) + np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
-        self.flat = np.concatenate([self.flat, np.fromiter((x for ids in coded for x in ids), np.uint32, int(size.sum()))])
-        keys, first, size = np.concatenate([self.keys, keys]), np.concatenate([self.first, first]), np.concatenate([self.size, size])
-        order = np.argsort(keys)
-        self.keys, self.first, self.size = keys[order], first[order], size[order]
-
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the pieces: each document's first byte, and white space after a sure non-space."""
+    """Starts of the pieces: each document's first byte, white space after a sure non-space, punctuation after a letter."""
     mark = np.zeros(len(data), bool)
     if len(data) > 1:
-        sure = (data > 0x20) & (data < 0x7F)  # printable ASCII
         two = np.zeros(len(data), bool)
         two[1:] = (data[:-1] >= 0xC3) & (data[:-1] < 0xE0) & (data[1:] >= 0x80)  # two-byte characters from U+00C0 on hold no white space
-        mark[1:] = SPACE[data[1:]] & (sure | two)[:-1]
+        mark[1:] = (SPACE[data[1:]] & (PRINTABLE[data] | two)[:-1]) | (PUNCTUATION[data[1:]] & LETTER[data[:-1]])
     mark[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     return np.flatnonzero(mark)
 
@@ -125,20 +126,24 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         coder = encoder(path)
         kind = np.uint16 if coder.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 ids, bounds = coder.encode(*flat_bytes(part.column(1)))
                 n = np.diff(bounds)
                 closed = np.insert(ids, bounds[1:], END).astype(kind)
                 ends = (np.cumsum(n + 1) * closed.itemsize).astype(np.int64)
-                blob = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate(([0], ends)).tobytes()), pa.py_buffer(closed.tobytes())]
-                ).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n + 1, pa.int64()), blob], ["doc_id", "n", "ids"])
+                blobs = _blobs(closed.view(np.uint8), np.concatenate(([0], ends)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n + 1, pa.int64()), blobs], ["doc_id", "n", "ids"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n long, ids binary")
 
 
+def _blobs(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes between offsets as a binary column."""
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+
+
 def _ids(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, np.uint16 if len(blob) == 2 * n else np.uint32)
 
@@ -166,25 +171,34 @@ def ranked(tokens: DataFrame) -> np.ndarray:
 # The coding
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Control bytes and data bytes."""
+def _places(counts: np.ndarray) -> np.ndarray:
+    """Index of every id among the two-bit codes, where each document fills whole control bytes."""
+    quads = -(-counts // 4) * 4
+    shift = np.cumsum(quads) - quads - (np.cumsum(counts) - counts)
+    return np.arange(counts.sum()) + np.repeat(shift, counts)
+
+
+def encode_ranks(ranks: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Control bytes and where each document's begin, data bytes and where each document's begin."""
     size = 1 + (ranks >= 1 << 8).astype(np.int64) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = size - 1
+    control_at = np.concatenate(([0], np.cumsum(-(-counts // 4))))
+    codes = np.zeros(int(control_at[-1]) * 4, np.uint8)
+    codes[_places(counts)] = size - 1
     quads = codes.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    at = np.cumsum(size) - size
-    data = np.zeros(int(size.sum()), np.uint8)
-    for byte in range(4):
-        here = size > byte
-        if not here.any():
+    at = np.concatenate(([0], np.cumsum(size)))
+    data = np.zeros(int(at[-1]), np.uint8)
+    data[at[:-1]] = ranks & np.uint32(0xFF)
+    for byte in range(1, 4):
+        here = np.flatnonzero(size > byte)
+        if not len(here):
             break
         data[at[here] + byte] = ranks[here] >> np.uint32(8 * byte) & np.uint32(0xFF)
-    return control, data
+    return control, control_at, data, at[np.concatenate(([0], np.cumsum(counts)))]
 
 
-def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
-    size = LENGTHS[control].ravel()[:n]
+def decode_ranks(control: np.ndarray, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    size = LENGTHS[control].ravel()[_places(counts)]
     at = np.cumsum(size) - size
     out = data[at].astype(np.uint32)
     for byte in range(1, 4):
@@ -195,32 +209,34 @@ def decode_ranks(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def pack_chunk(doc_ids: list, counts: list, ranks: np.ndarray) -> bytes:
-    control, data = encode_ranks(ranks)
-    body = b"".join(
-        [
-            np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is not None for d in doc_ids], np.uint8).tobytes(),
-            np.array(counts, "<u8").tobytes(), control.tobytes(), data.tobytes(),
-        ]
-    )
-    return HEAD.pack(MAGIC, len(doc_ids), len(ranks), len(data), zlib.crc32(body)) + body
+def pack_chunk(doc_ids: list, counts: list, control: bytes, data: bytes) -> bytes:
+    known = np.array([d is not None for d in doc_ids], np.uint8)
+    parts = [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(), np.array(counts, "<u8").tobytes(), control, data]
+    body = b"".join(parts)
+    return HEAD.pack(MAGIC, len(doc_ids), sum(counts), len(data), zlib.crc32(body)) + body
 
 
 def unpack_chunks(blob: bytes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """``(doc_ids, counts, ranks)`` of each chunk; ValueError where a chunk is damaged."""
     at = 0
-    while at < len(blob):
-        magic, docs, n, size, crc = HEAD.unpack_from(blob, at)
+    view = memoryview(blob)
+    while at < len(view):
+        if len(view) - at < HEAD.size:
+            raise ValueError(f"file ends early at byte {at}")
+        magic, docs, n, size, crc = HEAD.unpack_from(view, at)
         at += HEAD.size
-        parts = [8 * docs, docs, 8 * docs, -(-n // 4), size]
-        body = memoryview(blob)[at : at + sum(parts)]
-        if magic != MAGIC or len(body) != sum(parts) or zlib.crc32(body) != crc:
+        table = view[at : at + 17 * docs]
+        if magic != MAGIC or len(table) < 17 * docs:
+            raise ValueError(f"damaged chunk before byte {at}")
+        counts = np.frombuffer(table[9 * docs :], "<u8").astype(np.int64)
+        quads = int((-(-counts // 4)).sum())
+        body = view[at : at + 17 * docs + quads + size]
+        if counts.sum() != n or len(body) != 17 * docs + quads + size or zlib.crc32(body) != crc:
             raise ValueError(f"damaged chunk before byte {at}")
         at += len(body)
-        cut = np.cumsum([0, *parts])
-        ids, known, counts, control, data = (body[a:b] for a, b in zip(cut, cut[1:]))
-        names = [d if k else None for d, k in zip(np.frombuffer(ids, "<i8").tolist(), bytes(known))]
-        yield names, np.frombuffer(counts, "<u8").astype(np.int64), decode_ranks(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n)
+        ids, known = np.frombuffer(table[: 8 * docs], "<i8").tolist(), bytes(table[8 * docs : 9 * docs])
+        control, data = np.frombuffer(body, np.uint8, quads, 17 * docs), np.frombuffer(body, np.uint8, size, 17 * docs + quads)
+        yield [d if k else None for d, k in zip(ids, known)], counts, decode_ranks(control, data, counts)
 
 
 # Files
@@ -241,9 +257,13 @@ def write_token_files(tokens: DataFrame, uri: str, order: np.ndarray) -> DataFra
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = [encode_ranks(rank[_ids(b.as_buffer(), n)]) for n, b in zip(batch.column(1).to_pylist(), batch.column(2))]
-            controls, datas = (pa.array([x.tobytes() for x in c], pa.binary()) for c in (zip(*coded) if coded else ([], [])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), controls, datas], ["doc_id", "n", "control", "data"])
+            for part in slices(batch, "ids", 2 << 20):
+                counts = part.column(1).to_numpy()
+                flat, _ = flat_bytes(part.column(2))
+                ids = _ids(flat.tobytes(), int(counts.sum()))
+                control, control_at, data, data_at = encode_ranks(rank[ids], counts)
+                columns = [part.column(0), part.column(1), _blobs(control, control_at), _blobs(data, data_at)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "control", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(uri)
@@ -262,8 +282,8 @@ def write_token_files(tokens: DataFrame, uri: str, order: np.ndarray) -> DataFra
                     fs.create_dir(temp, recursive=True)
                 sink, size = fs.open_output_stream(f"{temp}/{len(done):05d}.ids", compression=None), 0
                 done.append(0)
-            ranks = np.concatenate([decode_ranks(np.frombuffer(c, np.uint8), np.frombuffer(d, np.uint8), n) for _, n, c, d in held])
-            chunk = pack_chunk([h[0] for h in held], [h[1] for h in held], ranks)
+            ids, counts, controls, datas = zip(*held)
+            chunk = pack_chunk(list(ids), list(counts), b"".join(controls), b"".join(datas))
             sink.write(chunk)
             size += len(chunk)
             done[-1] += pending
@@ -297,27 +317,53 @@ def write_token_files(tokens: DataFrame, uri: str, order: np.ndarray) -> DataFra
     return durable(sorted_.mapInArrow(run, "file string, n long"))
 
 
-def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
-    """``file, place, doc_id, n, ids`` of every document; ids are unsigned 32-bit little-endian bytes, place orders a file's documents."""
+def _decoded(batches: Iterator[pa.RecordBatch], order: np.ndarray) -> Iterator[tuple[str, int, list, np.ndarray, np.ndarray]]:
+    """``file, place, doc_ids, counts, ids`` of each chunk; place counts the file's documents before it."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            place = 0
+            for names, counts, ranks in unpack_chunks(content.as_buffer()):
+                yield "/".join(path.split("/")[-2:]), place, names, counts, order[ranks]
+                place += len(names)
+
+
+def _files(spark: SparkSession, uri: str) -> tuple[DataFrame, np.ndarray]:
     fs, folder = pafs.FileSystem.from_uri(uri)
     with fs.open_input_file(f"{folder}/ranks.u32") as source:
         order = np.frombuffer(source.read(), "<u4")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").option("recursiveFileLookup", "true")
+    return reader.load(uri).select("path", "content"), order
+
+
+def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
+    """``file, place, doc_id, n, ids`` of every document; ids are unsigned 32-bit little-endian bytes, place orders a file's documents."""
+    files, order = _files(spark, uri)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                file, place = "/".join(path.split("/")[-2:]), 0
-                for names, counts, ranks in unpack_chunks(content.as_buffer()):
-                    ids = order[ranks].tobytes()
-                    ends = np.cumsum(counts) * 4
-                    blobs = [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
-                    columns = [[file] * len(names), list(range(place, place + len(names))), names, counts, blobs]
-                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["file", "place", "doc_id", "n", "ids"])
-                    place += len(names)
+        for file, place, names, counts, ids in _decoded(batches, order):
+            blobs = _blobs(ids.view(np.uint8), np.concatenate(([0], np.cumsum(counts) * 4)))
+            columns = [pa.array([file] * len(names)), pa.array(range(place, place + len(names)), pa.int64()), pa.array(names, pa.int64()), pa.array(counts), blobs]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "place", "doc_id", "n", "ids"])
 
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").option("recursiveFileLookup", "true")
-    return reader.load(uri).select("path", "content").mapInArrow(run, "file string, place long, doc_id long, n long, ids binary")
+    return files.mapInArrow(run, "file string, place long, doc_id long, n long, ids binary")
+
+
+def read_digests(spark: SparkSession, uri: str) -> DataFrame:
+    """``file, doc_id, inside, n_tokens, ids_crc32`` of every document, without handing its ids on."""
+    files, order = _files(spark, uri)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, base = None, 0
+        for file, _, names, counts, ids in _decoded(batches, order):
+            base = base if file == current else 0
+            current = file
+            ends = np.cumsum(counts)
+            crcs = [zlib.crc32(ids[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())]
+            columns = [pa.array([file] * len(names)), pa.array(names, pa.int64()), pa.array(base + ends - counts), pa.array(counts), pa.array(crcs, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "inside", "n_tokens", "ids_crc32"])
+            base += int(ends[-1])
+
+    return files.mapInArrow(run, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, name: str = "tokens") -> DataFrame:
@@ -337,19 +383,4 @@ def token_files(docs: DataFrame, path: str, name: str = "tokens") -> DataFrame:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row per file of 16 MB
     bases = files.select("file", (F.sum("n").over(order) - F.col("n")).alias("base"))
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offset = file = None
-        for batch in batches:
-            starts, crcs = [], []
-            for f, n, blob in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-                if f != file:
-                    file, offset = f, 0
-                starts.append(offset)
-                crcs.append(zlib.crc32(blob.as_buffer()))
-                offset += n
-            columns = [batch.column(0), batch.column(2), pa.array(starts, pa.int64()), batch.column(3), pa.array(crcs, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "inside", "n_tokens", "ids_crc32"])
-
-    rows = read_token_files(spark, uri).mapInArrow(digest, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    return rows.join(bases, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return read_digests(spark, uri).join(bases, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
