@@ -26,6 +26,7 @@ LEAST_MATCHES = 2
 MOST_MATCHES = 8
 HOT_TOKENS = 10_000
 HOT_FROM = 64
+SMALL_BUCKET = 8
 BLOCK_MEMBERS = 4_096
 BLOCK_TOKENS = 2_000_000
 EDGES = "doc_id long, root long"
@@ -93,7 +94,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     own = reps.groupBy("rep").agg(F.min("sig").alias("sig")).select(F.col("rep").alias("doc_id"), "sig")
     links = candidate_links(sets.join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"]), percent)
     clusters = durable(components(links, "doc_id", "root"))
-    edges = verified_links(docs, clusters, k, percent)
+    edges = verified_links(docs, clusters, sets.select("doc_id", "n"), k, percent)
     found = components(edges, "doc_id", "root").select(F.col("id").alias("rep"), F.col("component"))
     labelled = durable(reps.join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id")))
     out = sets.select("doc_id", "n", "sig").join(labelled, "sig", "left")
@@ -101,20 +102,34 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
 
 
 def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest of the documents that share enough prefix tokens."""
+    """``doc_id, root``: documents that share enough prefix tokens, as links that connect them.
+
+    Pairs of a rare token are counted as rows. Documents of a token that more than
+    ``SMALL_BUCKET`` hold meet in blocks, which give out a spanning forest. A bucket is left
+    out where all its members have one such token in common and so meet there.
+    """
     tokens = sets.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = durable(tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1"))
     mine = tokens.join(shared, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("pos", "token", "freq")).alias("found"))
     chosen = durable(adaptive(mine, percent))
-    rows = chosen.select("doc_id", "top", F.explode("tokens").alias("token"))
+    narrow = chosen.withColumn("top_freq", F.array_max(F.transform("tokens", lambda t: t["freq"]))).select(
+        "doc_id", "n", "matches", "top", "top_freq", F.explode("tokens").alias("t")
+    )
+    rows = narrow.select("doc_id", "n", "matches", "top", "top_freq", F.col("t.token").alias("token"), F.col("t.freq").alias("freq"))
     kept = durable(
         rows.groupBy("token")
-        .agg(F.count("*").alias("members"), F.min("top").alias("low"), F.max("top").alias("high"))
-        .where("members > 1 and not (low = high and low <> token)")  # all members meet in the bucket of their top token
+        .agg(F.count("*").alias("members"), F.min("top").alias("low"), F.max("top").alias("high"), F.max("top_freq").alias("top_freq"))
+        .where(f"members > 1 and not (low = high and low <> token and top_freq > {SMALL_BUCKET})")
         .select("token", "members")
     )
-    met = rows.select("doc_id", "token").join(kept, "token").join(chosen.select("doc_id", "n", "matches", "tokens"), "doc_id")
-    dealt = blocks(met, "token", F.col("doc_id"), F.ceil(F.col("members") / BLOCK_MEMBERS))
+    small = rows.where(F.col("freq") <= SMALL_BUCKET).select("token", "doc_id", "n", "matches").join(kept.select("token"), "token")
+    other = small.select("token", *(F.col(c).alias(f"{c}_2") for c in ("doc_id", "n", "matches")))
+    least, most = F.least("n", "n_2"), F.greatest("n", "n_2")
+    pairs = small.join(other, "token").where((F.col("doc_id_2") < F.col("doc_id")) & (100 * least >= percent * most))
+    counted = pairs.groupBy("doc_id", F.col("doc_id_2").alias("root"), F.least("matches", "matches_2").alias("asked")).count().where("count >= asked")
+    met = rows.where(F.col("freq") > SMALL_BUCKET).select("doc_id", "token").join(kept, "token")
+    lists = chosen.select("doc_id", "n", "matches", F.transform("tokens", lambda t: t["token"]).alias("tokens"))
+    dealt = blocks(met.join(lists, "doc_id"), "token", F.col("doc_id"), F.ceil(F.col("members") / BLOCK_MEMBERS))
 
     def link(table: pa.Table) -> pa.RecordBatch | None:
         ids, lists, extra = _members(table, "tokens", ["n", "matches"])
@@ -126,7 +141,8 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
 
         return _edges(*spanning_links(ids, *lists, linked))
 
-    return map_groups(dealt.select("block", "doc_id", "n", "matches", "tokens"), "block", link, EDGES)
+    forest = map_groups(dealt.select("block", "doc_id", "n", "matches", "tokens"), "block", link, EDGES)
+    return counted.select("doc_id", "root").unionByName(forest)
 
 
 def adaptive(mine: DataFrame, percent: int) -> DataFrame:
@@ -164,15 +180,18 @@ def adaptive(mine: DataFrame, percent: int) -> DataFrame:
                 if not end:
                     continue
                 top = t[:end][np.lexsort((t[:end], -f[:end]))[0]]
-                out.append((doc, n, matches, t[:end].tolist(), int(top)))
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n", "matches", "tokens", "top"])
+                out.append((doc, n, matches, t[:end], f[:end], int(top)))
+            doc, n, matches, tokens, freqs, top = list(zip(*out)) or [[]] * 6
+            ends = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
+            flat = (np.concatenate(x) if len(x) else np.zeros(0, np.int64) for x in (tokens, freqs))
+            pairs = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in flat], ["token", "freq"])
+            columns = [pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(ends, pairs), pa.array(top, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "matches", "tokens", "top"])
 
-    return mine.select("doc_id", "n", "found").mapInArrow(run, "doc_id long, n int, matches int, tokens array<long>, top long")
+    return mine.select("doc_id", "n", "found").mapInArrow(run, "doc_id long, n int, matches int, tokens array<struct<token:long,freq:long>>, top long")
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
+def verified_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
     """A spanning forest of the true links inside each cluster of candidates, from whole texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(clusters, "id")
 
@@ -185,9 +204,9 @@ def verified_links(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -
                 arrays = [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "component", "tokens"])
 
-    sets = durable(texts.select("id", "component", "text").mapInArrow(shingle, "doc_id long, component long, tokens array<long>"))
-    sizes = durable(sets.groupBy("component").agg(F.sum(F.size("tokens").cast("long")).alias("total")).where(F.col("total") > BLOCK_TOKENS))
-    joined = sets.join(sizes, "component", "left")
+    sets = texts.select("id", "component", "text").mapInArrow(shingle, "doc_id long, component long, tokens array<long>")
+    large = clusters.join(sizes, clusters["id"] == sizes["doc_id"]).groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS)
+    joined = sets.join(durable(large), "component", "left")
     dealt = blocks(joined, "component", F.col("doc_id"), F.ceil(F.coalesce("total", F.lit(1)) / BLOCK_TOKENS))
 
     def link(table: pa.Table) -> pa.RecordBatch | None:
