@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import embedding_join, html_text, mixing, ngram_join, quality, repeats, token_files, warc
+from sensorloom.llm import decontaminate, embedding_join, html_text, mixing, ngram_join, quality, repeats, token_files, warc
 from sensorloom.llm.registry import query, read
 from sensorloom.session import durable
 
@@ -80,3 +80,9 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op6_decontaminate", decontaminate.SQL)
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it leaks, with the best window."""
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
