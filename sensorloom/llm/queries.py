@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontaminate, embedding_join, html_text, mixing, ngram_join, quality, repeats, token_files, warc
+from sensorloom.llm import decontaminate, embedding_join, html_text, mixing, ngram_join, passages, quality, repeats, token_files, warc
 from sensorloom.llm.registry import query, read
 from sensorloom.session import durable
 
@@ -86,3 +86,9 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item it leaks, with the best window."""
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op10_passages")
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share with earlier ones, edited or not."""
+    return passages.fuzzy_passages(read(spark, sf_dir, "documents"))
