@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorloom.session import durable
+from sensorloom.session import durable, sized_side
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -151,6 +151,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return top.select("doc_id", "item_id", F.col("w.start").cast("long").alias("start"), F.col("w.n").cast("long").alias("n_words"), F.col("w.similarity").alias("similarity"))
 
 
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that leak no benchmark item, with all their columns."""
+    leaks = contaminated(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct()
+    return docs.join(sized_side(leaks), "doc_id", "left_anti").select(*docs.columns)
+
+
 #: The same rows without fingerprints: windows on the chosen shingles, compared with every item of their size.
 SQL = r"""
 WITH item_words AS (

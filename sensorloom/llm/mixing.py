@@ -180,6 +180,14 @@ def _picked(rows: DataFrame, passes: DataFrame) -> DataFrame:
     return joined.withColumns({"copies": copies, "taken": copies * F.col("_size")}).drop("_whole", "_rest", "_cut", "_last")
 
 
+def mixed_documents(docs: DataFrame, weights=None, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` as often as the mix by ``source`` takes them, with all their columns."""
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", F.array("source").alias("sources"), word_count(F.col("text")).alias("size"))
+    picked, _, _ = mix(rows, weights, seed=seed)
+    repeated = picked.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select("_row.*")
+
+
 def cycle_weights(ordered: list) -> list[int]:
     """1, 2, 3, repeating in the order of the sources."""
     return [i % 3 + 1 for i in range(len(ordered))]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sensorloom.llm.arrow_text import shingle_sets, slices
 from sensorloom.llm.graph import components
 from sensorloom.llm.grouped import blocks, map_groups, spanning_links
-from sensorloom.session import durable
+from sensorloom.session import durable, sized_side
 
 LEAST_MATCHES = 2
 MOST_MATCHES = 8
@@ -101,6 +101,21 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that represent their component (its smallest doc_id), with all their columns.
+
+    Texts without words and rows without doc_id stay. Of rows that repeat a doc_id one stays.
+    """
+    found = durable(ngram_components(docs, k, percent))
+    later = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(sized_side(later), "doc_id", "left_anti").select(*docs.columns)
+    again = durable(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    several = kept.join(sized_side(again), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return kept.join(sized_side(again), "doc_id", "left_anti").select(*docs.columns).unionByName(several)
+
+
 def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
     """``doc_id, root``: documents that share enough prefix tokens, as links that connect them.
 

@@ -213,17 +213,48 @@ def labels_by_document(labels: DataFrame, column: str = "quality") -> DataFrame:
     return labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.avg(F.col(column).cast("double")).alias("label"))
 
 
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Weights from labelled rows of folds 0 and 1, calibration from fold 3; fold 2 is never learnt from.
+
+    All labelled rows count, nothing is sampled. Only labelled texts are read into statistics.
+    """
+    return _trained(docs.select("doc_id", "text"), labels, None)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, features: DataFrame | None) -> Model:
+    known = labels_by_document(labels)
+    split = fold(F.col("doc_id"))
+    rows = features if features is not None else document_statistics(docs, ["doc_id"])
+    return fit(rows.select("doc_id", "features").join(known, "doc_id").where(split != 2).withColumn("fold", (split == 3).cast("int")))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more, with all their columns.
+
+    Statistics are computed twice (for the fit and for the filter), so that texts need neither
+    a shuffle nor a copy on disk.
+    """
+    model = train(docs, labels)
+    place = docs.columns.index("text")
+    d = len(FEATURES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                values = [statistics(t or "") for t in part.column(place).to_pylist()]
+                score = model.score(np.array(values).reshape(-1, d))
+                yield part.filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns (doc_id among them) and ``score`` of every row.
 
-    Weights come from labelled rows of folds 0 and 1, calibration from fold 3, fold 2 is never
-    learnt from. All labelled rows count; nothing is sampled. Null and empty texts are scored
-    like any other, from statistics that are all 0. Repeated rows get equal scores.
+    Null and empty texts are scored like any other, from statistics that are all 0. Repeated
+    rows get equal scores.
     """
     features = durable(document_statistics(docs, keep))
-    known = labels_by_document(labels)
-    split = fold(F.col("doc_id"))
-    labelled = features.select("doc_id", "features").join(known, "doc_id").where(split != 2).withColumn("fold", (split == 3).cast("int"))
-    model = fit(labelled)
+    model = _trained(docs, labels, features)
     return _scored(features, keep, model)
 
