@@ -22,10 +22,12 @@ def unprocessed(raw: DataFrame, processed_ids: DataFrame, key: str = "id") -> Da
 
 
 def json_fields(raw: DataFrame, column: str = "data") -> DataFrame:
-    """One row per top-level number in a JSON payload; malformed payloads give none."""
-    return raw.withColumn("_map", F.from_json(column, "map<string,double>")).select(
-        *[c for c in raw.columns if c != column], F.explode("_map").alias("field", "value")
-    )
+    """One row per top-level number in a JSON payload, whatever stands beside it; malformed payloads give none."""
+    kept = [c for c in raw.columns if c != column]
+    fields = raw.withColumn("_map", F.from_json(column, "map<string,variant>")).select(*kept, F.explode("_map").alias("field", "_value"))
+    kind = F.schema_of_variant("_value")
+    numbers = fields.where(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"))
+    return numbers.select(*kept, "field", F.try_variant_get("_value", "$", "double").alias("value"))
 
 
 def analysis_slice(
@@ -34,14 +36,18 @@ def analysis_slice(
     end_date: str,
     entity_ids: Sequence[str] | DataFrame | None = None,
     entity: str = "room_id",
+    entity_type: str | None = None,
+    type_column: str = "entity_type",
 ) -> DataFrame:
-    """Rows of the given days (both ends in), of the listed entities if any are given.
+    """Rows of the given days (both ends in), of the listed entities and entity type if any are given.
 
     A long list comes as a frame with the entity column.
     """
     kind = df.schema["ts"].dataType
     day = F.lit(end_date).cast("date") + F.expr("INTERVAL 1 DAY")
     rows = df.filter((F.col("ts") >= F.lit(start_date).cast(kind)) & (F.col("ts") < day.cast(kind)))
+    if entity_type is not None:
+        rows = rows.filter(F.col(type_column) == entity_type)
     if entity_ids is None:
         return rows
     if isinstance(entity_ids, DataFrame):
@@ -218,14 +224,8 @@ def run_stats(log: DataFrame, schedule: DataFrame) -> DataFrame:
     return done.withColumn("confidence_pct", trust.scalar())
 
 
-# Named hour ranges (from inclusive, to exclusive) for the pattern table.
-DAY_PARTS = (("Morning Activity", 7, 11), ("Lunch Break", 11, 14), ("Evening Shutdown", 17, 21))
-
-
-def pattern_table(
-    classified: DataFrame, parts: Sequence[tuple[str, int, int]] = DAY_PARTS
-) -> DataFrame:
-    """For each named day part: share of observed days with use, and anomalies in it.
+def pattern_table(classified: DataFrame, parts: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """For each named day part (name, first hour, hour after it): share of observed days with use, and anomalies in it.
 
     A day is observed when the room reported at all, and matches when occupancy was above
     zero inside the hours.

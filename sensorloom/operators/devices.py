@@ -96,7 +96,7 @@ def hourly_usage(
         F.col("w.start").alias("window_start"),
         "request_count",
         limit.alias("limit"),
-        F.greatest(limit - F.col("request_count"), F.lit(0).cast("bigint")).alias("remaining"),
+        F.when(limit.isNotNull(), F.greatest(limit - F.col("request_count"), F.lit(0).cast("bigint"))).alias("remaining"),
         F.coalesce(F.col("request_count") > limit, F.lit(False)).alias("exceeded"),
     )
 

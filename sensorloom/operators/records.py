@@ -12,9 +12,6 @@ from sensorloom.functions.times import iso_text
 from sensorloom.operators.state import ORDER, STATE_FIELDS
 from sensorloom.schema import ROOM_STATE
 
-NUMBER = "decimal(38,10)"
-
-
 def collapse_events(
     events: DataFrame, key: Sequence[str] = ("room_id", "ts"), order: Sequence[str] = ORDER
 ) -> DataFrame:
@@ -69,13 +66,17 @@ def unmatched_patches(rooms: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def event_records(events: DataFrame) -> DataFrame:
-    """Event as stored: exact decimal value, ISO text time, never without an id."""
+    """Event as stored: the value as exact text, ISO text time, never without an id.
+
+    A decimal of fixed width would round 1e-12 and stop at 1e30; the shortest text that reads
+    back as the same number does neither.
+    """
     return events.select(
         "room_id",
         iso_text(F.col("ts")).alias("timestamp"),
         "event_id",
         "sensor_type",
-        F.col("value").cast(NUMBER).alias("value"),
+        F.col("value").cast("string").alias("value"),
         "unit",
         "status",
     )

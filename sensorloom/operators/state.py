@@ -110,13 +110,14 @@ def rolling_anomalies(
 ) -> DataFrame:
     """For each anomaly, the anomalies of its room in the ``hours`` up to it, both ends in.
 
-    Each anomaly counts +1 at its own time and -1 just after ``hours`` later; the running sum
-    is the rolling count. That needs no frame over a room, so no room is held in one task.
+    An anomaly counts from its own time until just before ``hours`` later, as in
+    ``anomalies_as_of`` and on streams: +1 at its time, -1 ``hours`` later. The running sum is
+    the rolling count; at one instant the -1 steps come first. That needs no frame over a room, so no room is held in one task.
     """
     span = F.expr(f"INTERVAL {hours} HOURS")
     marks = F.array(
-        F.struct(F.col("ts").alias("at"), F.lit(0).alias("phase"), F.lit(1).alias("step")),
-        F.struct((F.col("ts") + span).alias("at"), F.lit(1).alias("phase"), F.lit(-1).alias("step")),
+        F.struct(F.col("ts").alias("at"), F.lit(1).alias("phase"), F.lit(1).alias("step")),
+        F.struct((F.col("ts") + span).alias("at"), F.lit(0).alias("phase"), F.lit(-1).alias("step")),
     )
     steps = (
         classified.filter(is_anomaly())
@@ -131,7 +132,7 @@ def rolling_anomalies(
         sums={"anomalies_in_span": F.col("step")},
         peers=True,
     )
-    return counted.filter(F.col("phase") == 0).select(
+    return counted.filter(F.col("phase") == 1).select(
         "room_id", "event_id", F.col("at").alias("ts"), "status", "anomalies_in_span"
     )
 

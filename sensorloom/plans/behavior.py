@@ -16,14 +16,18 @@ TWO_PLACES = "CAST(floor(round({} * 100, 6) + 0.5) / 100 AS DECIMAL(3,2))"
 
 @query(
     "payload_increment",
-    """SELECT CAST(event_id AS BIGINT) AS id, user_id AS entity_id, ts, 'k' AS field,
-      CAST(json_extract(props, '$.k') AS DOUBLE) AS value
-    FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
+    """WITH f AS (SELECT unnest(['k', 'v']) AS field)
+    SELECT CAST(event_id AS BIGINT) AS id, user_id AS entity_id, ts, field,
+      CASE field WHEN 'k' THEN CAST(json_extract(props, '$.k') AS DOUBLE) ELSE value END AS value
+    FROM events, f WHERE event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
 )
 def payload_increment(spark, sf):
     """JSON payloads not yet processed; the finished orders stand for the ledger."""
+    # Text, lists and nulls beside the numbers, as devices send them.
+    more = F.to_json(F.struct(F.col("event_type").alias("t"), F.col("value").alias("v"), F.array(F.lit(1)).alias("l")))
+    mixed = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(", "), F.substring(more, 2, 1 << 20))
     raw = tables.table(spark, sf, "events").select(
-        F.col("event_id").alias("id"), F.col("user_id").alias("entity_id"), "ts", F.col("props").alias("data")
+        F.col("event_id").alias("id"), F.col("user_id").alias("entity_id"), "ts", mixed.alias("data")
     )
     orders = tables.table(spark, sf, "orders")
     done = orders.filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("id"))
@@ -187,8 +191,7 @@ def run_stats(spark, sf):
 
 @query(
     "pattern_table",
-    f"""WITH {LOG}, parts AS (SELECT * FROM (VALUES ('Morning Activity', 7, 11), ('Lunch Break', 11, 14),
-      ('Evening Shutdown', 17, 21)) t(pattern, f, u)),
+    f"""WITH {LOG}, parts AS (SELECT * FROM (VALUES ('early', 6, 10), ('midday', 10, 15), ('late', 15, 22)) t(pattern, f, u)),
     days AS (SELECT room_id, CAST(ts AS DATE) AS day, pattern,
       bool_or(sensor_type = 'occupancy' AND value > 0 AND hour(ts) >= f AND hour(ts) < u) AS used,
       count(*) FILTER (WHERE status <> 'normal' AND hour(ts) >= f AND hour(ts) < u) AS bad
@@ -197,7 +200,7 @@ def run_stats(spark, sf):
       CAST(sum(bad) AS BIGINT) AS anomalies FROM days GROUP BY ALL""",
 )
 def pattern_table(spark, sf):
-    return behavior.pattern_table(log_of(spark, sf))
+    return behavior.pattern_table(log_of(spark, sf), [("early", 6, 10), ("midday", 10, 15), ("late", 15, 22)])
 
 
 @query(

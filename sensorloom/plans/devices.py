@@ -74,7 +74,7 @@ def messages_today(spark, sf):
     f"""WITH {REGISTRY}, {MESSAGES}, c AS (SELECT device_id, date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS request_count
       FROM messages GROUP BY ALL), l AS (SELECT c.*, CAST(CASE tier WHEN 'free' THEN {TIERS["free"]} WHEN 'standard'
       THEN {TIERS["standard"]} END AS BIGINT) AS "limit" FROM c LEFT JOIN registry r ON c.device_id = r.device_id)
-    SELECT *, CASE WHEN "limit" IS NULL THEN 0 ELSE greatest("limit" - request_count, 0) END AS remaining, coalesce(request_count > "limit", false) AS exceeded FROM l""",
+    SELECT *, CASE WHEN "limit" IS NOT NULL THEN greatest("limit" - request_count, 0) END AS remaining, coalesce(request_count > "limit", false) AS exceeded FROM l""",
 )
 def rate_limit_hourly(spark, sf):
     return devices.hourly_usage(tables.messages(spark, sf), tables.device_registry(spark, sf), TIERS)

@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 from sensorloom.operators import state
 from sensorloom.operators.classify import classify
 from sensorloom.operators.enrich import enrich
+from sensorloom.operators.ingest import rejects_by_reason
 from sensorloom.operators.validate import accept
-from sensorloom.plans import query
+from sensorloom.plans import ORACLES, query, rooms
 from sensorloom.plans.devices import ADMIT, MESSAGES
 from sensorloom.plans.rooms import FLAT_ROOM
 from sensorloom.plans.sql import EPOCH, LOG, REGISTRY, ROOMS
-from sensorloom.schema import LOG_FIELDS
-from sensorloom.session import scratch_path, use_utc
+from sensorloom.session import scratch_path, ship_package, use_utc
 from sensorloom.sources import tables
+from sensorloom.sources.log import read_log
 from sensorloom.streaming import admission, ingest, sinks, timers
 
 ONCE = {"availableNow": True}
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    ship_package(spark)
     schema = tables.table(spark, sf, "events").schema
     return use_utc(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
@@ -62,9 +64,8 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
 def stream_room_state(spark, sf):
     """Ingest to the log, then rooms from the log: two queries with their own checkpoints."""
     root = scratch_path(spark, "rooms")
-    log = ingest.accepted_stream(reading_stream(spark, sf)).select(*LOG_FIELDS)
     with one_state_store_per_core(spark):
-        sinks.append_log(log, f"{root}/log", f"{root}/checkpoints/log", **ONCE).awaitTermination()
+        ingest.ingest_log(spark, reading_stream(spark, sf), f"{root}/log", f"{root}/checkpoints/log", **ONCE).awaitTermination()
         ingest.start_rooms(spark, root, **ONCE).awaitTermination()
     table = sinks.StateTable(spark, f"{root}/rooms", ["room_id"])
     return naive(state.flat_state(table.read()))
@@ -80,8 +81,57 @@ def stream_dedup(spark, sf):
     copies = F.sequence(F.lit(0), (F.col("event_id").cast("bigint") % 3).cast("int"))
     sent = reading_stream(spark, sf).withColumn("_copy", F.explode(copies))
     sent = sent.withColumn("event_id", F.lit(None).cast("string")).drop("_copy")
-    columns = ["event_id", "room_id", "sensor_type", "value", "ts"]
-    return drained(ingest.accepted_stream(sent).select(*columns), "dedup")
+    root = scratch_path(spark, "dedup")
+    ingest.ingest_log(spark, sent, f"{root}/log", f"{root}/checkpoint", **ONCE).awaitTermination()
+    return naive(read_log(spark, f"{root}/log").select("event_id", "room_id", "sensor_type", "value", "ts"))
+
+
+def by_arrival(spark, rows: DataFrame, arrival, name: str, batches: int = 4) -> DataFrame:
+    """The rows as a stream of several batches: one file for each run of arrival times, oldest first."""
+    root = scratch_path(spark, name)
+    low, high = rows.agg(F.min(arrival), F.max(arrival)).first()
+    width = (high - low) / batches
+    for i in range(batches):
+        part = (arrival >= low + i * width) & (arrival < low + (i + 1) * width) if i < batches - 1 else arrival >= low + i * width
+        rows.where(part).coalesce(1).write.mode("append").parquet(root)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+@query(
+    "stream_late_readings",
+    f"""WITH {LOG} SELECT event_id, room_id, sensor_type, value, ts, status FROM log""",
+)
+def stream_late_readings(spark, sf):
+    """Four batches; every seventh reading arrives three days late, every fifth is delivered twice, the second time late."""
+    number = F.col("event_id").cast("bigint")
+    once = tables.as_readings(tables.table(spark, sf, "events"))
+    late = F.when(number % 7 == 0, F.expr("INTERVAL 72 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    sent = once.withColumn("_arrival", F.col("ts") + late)
+    sent = sent.unionByName(once.where(number % 5 == 0).withColumn("_arrival", F.col("ts") + F.expr("INTERVAL 100 HOURS")))
+    source = by_arrival(spark, sent, F.col("_arrival"), "late").drop("_arrival")
+    root = scratch_path(spark, "late-log")
+    ingest.ingest_log(spark, source, f"{root}/log", f"{root}/checkpoint", **ONCE).awaitTermination()
+    return naive(read_log(spark, f"{root}/log").select("event_id", "room_id", "sensor_type", "value", "ts", "status"))
+
+
+def body_stream(spark, sf) -> DataFrame:
+    """The damaged bodies of ``parsed_bodies`` as a stream of four batches."""
+    rows = rooms.bodies(spark, sf).withColumn("_n", F.crc32(F.coalesce("body", F.lit("")).cast("binary")) % 4)
+    return by_arrival(spark, rows, F.col("_n"), "bodies").drop("_n")
+
+
+@query("stream_bodies", ORACLES["parsed_bodies"])
+def stream_bodies(spark, sf):
+    root = scratch_path(spark, "body-log")
+    source = body_stream(use_utc(spark), sf)
+    ingest.ingest_log(spark, source, f"{root}/log", f"{root}/checkpoint", ingest.split_bodies, **ONCE).awaitTermination()
+    return naive(read_log(spark, f"{root}/log")).select(*rooms.LOG_COLUMNS)
+
+
+@query("stream_body_rejects", ORACLES["parsed_rejects"])
+def stream_body_rejects(spark, sf):
+    rejected = ingest.split_bodies(body_stream(use_utc(spark), sf))[1].select("reject_class", "reject_reasons")
+    return rejects_by_reason(drained(rejected, "body-rejects"))
 
 
 # A stream closes what lies before its watermark: the newest event less one hour, in whole milliseconds.
@@ -90,7 +140,7 @@ WATERMARK = "w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR
 
 @query(
     "stream_rolling_alerts",
-    f"""WITH {LOG}, {WATERMARK.format("log WHERE status <> 'normal'")},
+    f"""WITH {LOG}, {WATERMARK.format("log")},
     m AS (SELECT room_id, date_trunc('minute', ts)::TIMESTAMP + INTERVAL 1 MINUTE AS e, count(*) AS n FROM log
       WHERE status <> 'normal' GROUP BY ALL),
     closed AS (SELECT m.* FROM m, w WHERE e <= w),
@@ -100,10 +150,8 @@ WATERMARK = "w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR
     SELECT room_id, e AS "at", anomalies_in_span FROM r, w WHERE e <= w""",
 )
 def stream_rolling_alerts(spark, sf):
-    # The watermark is the one of the anomalies: the filter comes before it.
-    log = enriched_stream(spark, sf).filter(state.is_anomaly())
     with timers.rocksdb(spark):
-        return drained(timers.rolling_counts(ingest.timed(log)), "rolling")
+        return drained(timers.rolling_counts(ingest.timed(enriched_stream(spark, sf))), "rolling")
 
 
 def enriched_stream(spark, sf):
@@ -155,3 +203,26 @@ def stream_admission(spark, sf):
     root = scratch_path(spark, "admission")
     admission.start_admission(spark, message_stream(spark, sf), root, ADMIT, **ONCE).awaitTermination()
     return spark.read.parquet(f"{root}/decisions").drop("batch", "window_no")
+
+
+TIER_LIMITS = {"free": 1, "standard": 2}
+
+
+@query(
+    "stream_admission_by_tier",
+    f"""WITH {REGISTRY}, {MESSAGES}, m AS (SELECT m.message_id, m.device_id, m.ts, tier, row_number() OVER (PARTITION BY m.device_id,
+      date_trunc('hour', m.ts) ORDER BY m.ts, message_id) AS number FROM messages m LEFT JOIN registry r ON m.device_id = r.device_id)
+    SELECT message_id, device_id, ts, number, coalesce(number <= CASE tier WHEN 'free' THEN {TIER_LIMITS["free"]}
+      WHEN 'standard' THEN {TIER_LIMITS["standard"]} END, true) AS admitted FROM m""",
+)
+def stream_admission_by_tier(spark, sf):
+    """Four batches in order of time, the limit taken from each device's tier."""
+    tier = F.col("tier")
+    limits = tables.device_registry(spark, sf).select(
+        "device_id", F.when(tier == "free", TIER_LIMITS["free"]).when(tier == "standard", TIER_LIMITS["standard"]).alias("limit")
+    )
+    messages = tables.as_messages(tables.table(use_utc(spark), sf, "events")).select("message_id", "device_id", "ts")
+    root = scratch_path(spark, "tier-admission")
+    source = by_arrival(spark, messages, F.col("ts"), "messages")
+    admission.start_admission(spark, source, root, limits, **ONCE).awaitTermination()
+    return spark.read.parquet(f"{root}/decisions").drop("batch", "window_no")

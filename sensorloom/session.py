@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -68,11 +68,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A join side whose size is counted before it may be broadcast.
+def sized_side(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """A join side whose bytes are summed before it may be broadcast.
 
-    Above ``max_rows`` no hint is given: the join shuffles, and adaptive execution splits
-    its skewed partitions.
+    Above ``max_bytes`` (``BROADCAST_BYTES``) no hint is given: the join shuffles, and adaptive execution splits its
+    skewed partitions.
     """
     side = durable(df)
-    return F.broadcast(side) if side.count() <= max_rows else side
+    fixed = 16 + 8 * len(side.columns)
+    wide = [F.octet_length(c) for c, kind in side.dtypes if kind in ("string", "binary")]
+    nested = [F.octet_length(F.to_json(F.struct(c))) for c, kind in side.dtypes if kind.startswith(("array", "map", "struct"))]
+    row = sum((F.coalesce(x, F.lit(0)) for x in [*wide, *nested]), F.lit(fixed))
+    size = side.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(side) if size <= (BROADCAST_BYTES if max_bytes is None else max_bytes) else side

@@ -59,8 +59,10 @@ def parse_bodies(df: DataFrame, body: str = "body") -> DataFrame:
     A body must be one JSON object with the required keys. Text where a number belongs is
     read as a number; a number where text belongs is refused. The parser stops after the
     first value, so the body is read as the first of two list items: only if the checksum
-    follows as the second did it end where its value ended.
+    follows as the second did it end where its value ended. Of a repeated key the last holds,
+    as in common JSON readers; the session setting for that is switched on here.
     """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     mark = F.crc32(F.col(body).cast("binary"))
     doc = F.try_parse_json(F.concat(F.lit("["), F.col(body), F.lit(","), mark.cast("string"), F.lit("]")))
     parsed = compute_once(df.withColumn("_mark", mark), {"_list": doc})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from sensorloom.operators.classify import classify
 from sensorloom.operators.devices import hourly_usage
 from sensorloom.operators.enrich import enrich
 from sensorloom.operators.state import fold_rooms
-from sensorloom.operators.validate import any_problem, accept, event_problems, reject
-from sensorloom.schema import LOG_FIELDS, LOG_SCHEMA
-from sensorloom.streaming.sinks import StateTable, append_log, append_rows, each_batch
+from sensorloom.operators.validate import accept, any_problem, check_parsed, event_problems, reject
+from sensorloom.schema import LOG_SCHEMA
+from sensorloom.sources.raw import parse_bodies
+from sensorloom.streaming.sinks import LogTable, StateTable, append_rows, each_batch
 
 LATENESS = "1 hour"
 
@@ -32,10 +34,42 @@ def observed(readings: DataFrame, name: str = "ingest") -> DataFrame:
     )
 
 
-def accepted_stream(readings: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Accepted, enriched, classified readings, each id once within the lateness bound."""
-    log = classify(enrich(accept(timed(readings, lateness))))
-    return log.dropDuplicatesWithinWatermark(["event_id"])
+Split = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def split_readings(readings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected rows of typed readings."""
+    readings = readings.withColumn("ts", F.col("ts").cast("timestamp"))
+    return accept(readings), reject(readings)
+
+
+def split_bodies(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted and rejected rows of raw JSON bodies (column ``body``)."""
+    return check_parsed(parse_bodies(bodies))
+
+
+def ingest_log(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, split: Split = split_readings, **trigger) -> StreamingQuery:
+    """Append every accepted reading to the log once, however late it comes.
+
+    Per batch, total = stored + rejected + duplicates (see ``LogTable.stats``). Nothing is held
+    in a state store and no watermark drops a row: a gateway that was away for a day delivers
+    its readings like any other. The source is read once a batch.
+    """
+    table = LogTable(spark, path)
+    table.create()
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            accepted = classify(enrich(split(batch)[0])).persist()
+            try:
+                table.note(batch_id, batch.count(), accepted.count(), table.append(accepted, batch_id))
+            finally:
+                accepted.unpersist()
+        finally:
+            batch.unpersist()
+
+    return each_batch(source, work, checkpoint, "append", **trigger)
 
 
 def log_stream(spark: SparkSession, path: str, lateness: str = LATENESS) -> DataFrame:
@@ -63,16 +97,14 @@ class Running:
         return [self.log, self.rejects, self.rooms]
 
 
-def start(spark: SparkSession, readings: DataFrame, root: str, **trigger) -> Running:
-    """Start ingest, rejects and room state.
+def start(spark: SparkSession, readings: DataFrame, root: str, split: Split = split_readings, **trigger) -> Running:
+    """Start ingest, rejects and room state from typed readings, or from raw bodies with ``split_bodies``.
 
     Each query has its own checkpoint: if the room query fails, events are still accepted,
     and the room query catches up from the log when it is started again.
     """
-    log = append_log(
-        accepted_stream(observed(readings)).select(*LOG_FIELDS), f"{root}/log", f"{root}/checkpoints/log", **trigger
-    )
-    rejects = append_rows(reject(readings), f"{root}/rejects", f"{root}/checkpoints/rejects", **trigger)
+    log = ingest_log(spark, readings, f"{root}/log", f"{root}/checkpoints/log", split, **trigger)
+    rejects = append_rows(split(readings)[1], f"{root}/rejects", f"{root}/checkpoints/rejects", **trigger)
     return Running(log, rejects, start_rooms(spark, root, **trigger))
 
 

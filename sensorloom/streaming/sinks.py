@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from sensorloom.operators.records import upsert
+from sensorloom.schema import LOG_FIELDS, LOG_SCHEMA
+from sensorloom.session import durable
 from sensorloom.sources.log import with_event_date
 
 
@@ -65,6 +68,75 @@ class StateTable:
             changed.unpersist()
 
 
+class LogTable:
+    """The accepted log as micro-batches write it: ``event_date=D/batch=N``, every id once.
+
+    Readings of any age are taken. A batch's ids are looked up among stored readings of the
+    batch's own dates and time span only (a retry carries the time of what it repeats), so on-time
+    batches read the newest files and late ones just the days they reach back to. A replayed
+    batch overwrites its own partitions. Counts per batch lie in ``<path>_stats``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def create(self) -> None:
+        """The folder has to exist before the log is read as a stream."""
+        empty = self.spark.createDataFrame([], LOG_SCHEMA).withColumn("batch", F.lit(0).cast("bigint"))
+        empty.write.mode("append").partitionBy("event_date", "batch").parquet(self.path)
+
+    def _stored(self) -> DataFrame:
+        schema = T.StructType([*LOG_SCHEMA.fields, T.StructField("batch", T.LongType())])
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def append(self, accepted: DataFrame, batch_id: int) -> int:
+        """Store the readings whose id is new; their number."""
+        rows = with_event_date(accepted.select(*LOG_FIELDS)).dropDuplicates(["event_id"]).persist()
+        try:
+            low, high, first, last, n = rows.agg(
+                F.min("ts"), F.max("ts"), F.min("event_date"), F.max("event_date"), F.count("*")
+            ).first()
+            if not n:
+                return 0
+            stored = self._stored().where(F.col("event_date").between(first, last) & F.col("ts").between(low, high))
+            dates = rows.select("event_date").distinct()
+            known = stored.where(F.col("batch") != batch_id).join(F.broadcast(dates), "event_date", "left_semi").select("event_id")
+            new = rows.join(known, "event_id", "left_anti").withColumn("batch", F.lit(batch_id)).persist()
+            try:
+                count = new.count()  # before the write, which drops what is cached of this folder
+                (
+                    new.hint("rebalance", F.col("event_date"))
+                    .sortWithinPartitions("event_date", "room_id", "ts")
+                    .write.mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic")
+                    .partitionBy("event_date", "batch")
+                    .parquet(self.path)
+                )
+                return count
+            finally:
+                new.unpersist()
+        finally:
+            rows.unpersist()
+
+    def note(self, batch_id: int, total: int, accepted: int, stored: int) -> None:
+        counts = [(total, accepted, total - accepted, accepted - stored)]
+        frame = self.spark.createDataFrame(counts, "total bigint, accepted bigint, rejected bigint, duplicates bigint")
+        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}_stats/batch={batch_id}")
+
+    def stats(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}_stats")
+
+    def compact(self, date: str) -> None:
+        """Rewrite a closed day's many small files as few, sorted by room and time, as batch -1.
+
+        For days that no running stream appends to any more and no stream has yet to read.
+        """
+        day = F.lit(date).cast("date")
+        rows = durable(self._stored().where(F.col("event_date") == day)).withColumn("batch", F.lit(-1).cast("bigint"))
+        ordered = rows.drop("event_date").hint("rebalance").sortWithinPartitions("room_id", "ts")
+        ordered.write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/event_date={date}")
+
+
 def append_log(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append to parquet by event date; the file sink's own log makes it exactly-once."""
     return (

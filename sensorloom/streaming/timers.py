@@ -91,12 +91,14 @@ class RollingCount(StatefulProcessor):
 def rolling_counts(log: DataFrame, hours: int = 24) -> DataFrame:
     """Each change of the rolling anomaly count of a room, to the minute.
 
-    A minute counts from its end until ``hours`` later. ``log`` carries a watermark.
+    A minute counts from its end until just before ``hours`` later. ``log`` carries a watermark
+    and all readings: normal ones drive the clock, and minutes without anomalies are dropped
+    only after they were counted, so that no filter gets under the watermark.
     """
     minutes = (
-        log.filter(is_anomaly())
-        .groupBy("room_id", F.window("ts", "1 minute").alias("w"))
-        .agg(F.count("*").alias("n"))
+        log.groupBy("room_id", F.window("ts", "1 minute").alias("w"))
+        .agg(F.count_if(is_anomaly()).alias("n"))
+        .filter("n > 0")
         .select("room_id", F.col("w.end").alias("end"), "n")
     )
     return minutes.groupBy("room_id").transformWithStateInPandas(

@@ -42,7 +42,7 @@ def test_baseline_beyond_the_broadcast_limit(spark, monkeypatch):
 
     rows = [event_row(str(i), "ab"[i % 2], "temperature", i, i) for i in range(20)]
     small = behavior.z_scores(events(spark, rows), ["room_id"])
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
     side = session.sized_side(behavior.baselines(events(spark, rows), ["room_id"]), 0)
     assert "broadcast" not in side._jdf.queryExecution().logical().toString().lower()
     assert small.count() == 20
@@ -78,6 +78,9 @@ def test_activity_fills_empty_hours(spark):
 def test_slices_and_increments(spark):
     df = events(spark, [event_row(str(d), "ab"[d % 2], "motion", 1, d * 60 * 24) for d in range(6)])
     part = behavior.analysis_slice(df, "2026-01-16", "2026-01-18")
+    typed = df.withColumn("entity_type", F.when(F.col("room_id") == df.first()["room_id"], "office").otherwise("hall"))
+    office = behavior.analysis_slice(typed, "2026-01-01", "2026-01-31", entity_type="office")
+    assert {r["room_id"] for r in dicts(office)} == {df.first()["room_id"]}
     assert sorted(r["event_id"] for r in dicts(part)) == ["1", "2", "3"]
     ids = spark.createDataFrame([("b",)], "room_id string")
     assert behavior.analysis_slice(df, "2026-01-16", "2026-01-18", ids).count() == 2

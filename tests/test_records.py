@@ -26,10 +26,17 @@ def test_event_record(spark):
     df = events(spark, [event_row("e", "a", "temperature", 21.7, 0, "°C", "normal")])
     assert dicts(records.event_records(df)) == [
         {"room_id": "a", "timestamp": "2026-01-15T12:00:00+00:00", "event_id": "e", "sensor_type": "temperature",
-         "value": Decimal("21.7000000000"), "unit": "°C", "status": "normal"}
+         "value": "21.7", "unit": "°C", "status": "normal"}
     ]
 
 
+def test_event_values_are_exact_whatever_their_size(spark):
+    values = [1e-12, 1e30, 0.1234567890123456, 12345678901234567.0, -0.0, 5e-324]
+    df = events(spark, [event_row(str(i), "a", "temperature", v, i) for i, v in enumerate(values)])
+    stored = {r["event_id"]: r["value"] for r in dicts(records.event_records(df))}
+    assert [float(Decimal(stored[str(i)])) for i in range(len(values))] == values
+
+
 def test_room_round_trip(spark):
     stored = records.room_records(rooms(spark))
     got = {r["room_id"]: r for r in dicts(stored)}

@@ -106,7 +106,7 @@ def test_rolling_count(spark, readings):
     bad = [r for r in dicts(df) if r["status"] != "normal"]
     day = dt.timedelta(hours=24)
     expected = {
-        r["event_id"]: sum(o["room_id"] == r["room_id"] and r["ts"] - day <= o["ts"] <= r["ts"] for o in bad) for r in bad
+        r["event_id"]: sum(o["room_id"] == r["room_id"] and r["ts"] - day < o["ts"] <= r["ts"] for o in bad) for r in bad
     }
     assert {r["event_id"]: r["anomalies_in_span"] for r in dicts(state.rolling_anomalies(df))} == expected
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import devices, ingest, state
 from sensorloom.operators.classify import classify
-from sensorloom.schema import EVENT_SCHEMA, LOG_FIELDS
+from sensorloom.schema import EVENT_SCHEMA
+from sensorloom.sources.log import read_log
 from sensorloom.sources.raw import read_bodies, read_events
 from sensorloom.streaming import admission, sinks, timers
 from sensorloom.streaming import ingest as ingest_stream
@@ -61,10 +62,35 @@ def test_ingest_over_batches_and_restarts(spark, tmp_path):
     assert [r["event_id"] for r in dicts(spark.read.parquet(f"{root}/rejects"))] == ["3"]
 
 
+def test_late_readings_reach_the_log(spark, tmp_path):
+    """12:00, 13:00, 09:00 and 14:00, and the 09:00 one again: one batch each, restarted in between."""
+    root, folder = str(tmp_path / "out"), str(tmp_path / "in")
+    for name, minute in (("1", 0), ("2", 60), ("3", -180), ("4", 120), ("3", -180)):
+        rows = [event_row(name, "a", "temperature", 20, minute), event_row(f"bad{name}", "a", "noise", 1, minute)]
+        source(spark, folder, rows)
+        ingest_stream.ingest_log(spark, stream(spark, folder), f"{root}/log", f"{root}/ck", **ONCE).awaitTermination()
+    table = sinks.LogTable(spark, f"{root}/log")
+    assert sorted(r["event_id"] for r in dicts(read_log(spark, f"{root}/log"))) == ["1", "2", "3", "4"]
+    stats = table.stats().agg(*(F.sum(c).alias(c) for c in ("total", "accepted", "rejected", "duplicates"))).first()
+    assert tuple(stats) == (10, 5, 5, 1) and stats.total == 4 + stats.rejected + stats.duplicates
+    table.compact("2026-01-15")
+    assert sorted(r["event_id"] for r in dicts(read_log(spark, f"{root}/log"))) == ["1", "2", "3", "4"]
+
+
+def test_counts_fall_back_without_anomalies(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for hour, value in ((0, 35), (30, 20), (60, 20), (90, 20)):
+        src = source(spark, folder, [event_row(f"{hour}", "a", "temperature", value, hour * 60)])
+    with timers.rocksdb(spark):
+        counts = timers.rolling_counts(classify(ingest_stream.timed(src)))
+        sinks.append_rows(counts, str(tmp_path / "o"), str(tmp_path / "c"), **ONCE).awaitTermination()
+    got = [(r["at"], r["anomalies_in_span"]) for r in dicts(spark.read.parquet(str(tmp_path / "o")))]
+    assert sorted(got) == [(at(1), 1), (at(24 * 60 + 1), 0)]
+
+
 def test_room_failure_does_not_stop_events(spark, tmp_path, monkeypatch):
     root, folder = str(tmp_path / "out"), str(tmp_path / "in")
-    log = ingest_stream.accepted_stream(source(spark, folder, ROWS)).select(*LOG_FIELDS)
-    sinks.append_log(log, f"{root}/log", f"{root}/checkpoints/log", **ONCE).awaitTermination()
+    ingest_stream.ingest_log(spark, source(spark, folder, ROWS), f"{root}/log", f"{root}/checkpoints/log", **ONCE).awaitTermination()
 
     def broken(self, changed, batch_id):
         raise RuntimeError("store is away")
@@ -140,6 +166,20 @@ def test_admission_over_batches(spark, tmp_path):
     assert got == {r["message_id"]: (r["number"], r["admitted"]) for r in dicts(batch)}
 
 
+def test_wrong_clocks_and_late_messages_keep_their_counters(spark, tmp_path):
+    """Limit 2: device 1 sends two, device 9 one dated next year, device 1 two more in its hour, one a day late."""
+    folder, root = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "message_id string, device_id bigint, ts timestamp"
+    parts = [[("m1", 1, at(0)), ("m2", 1, at(1))], [("m3", 9, at(60 * 24 * 365))], [("m4", 1, at(2)), ("m5", 1, at(3))], [("m6", 1, at(60 * 24))], [("m7", 1, at(4))]]
+    limits = spark.createDataFrame([(1, 2), (7, None)], "device_id bigint, limit int")
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        admission.start_admission(spark, src, root, limits, **ONCE).awaitTermination()
+    got = {r["message_id"]: (r["number"], r["admitted"]) for r in dicts(spark.read.parquet(f"{root}/decisions"))}
+    assert got == {"m1": (1, True), "m2": (2, True), "m3": (1, True), "m4": (3, False), "m5": (4, False), "m6": (1, True), "m7": (5, False)}
+
+
 def test_sources_read_as_streams(spark, tmp_path):
     (tmp_path / "bodies").mkdir()
     (tmp_path / "bodies" / "1.json").write_text('{"room_id":"a"}\n{}\n')
