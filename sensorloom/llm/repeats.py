@@ -26,9 +26,9 @@ from sensorloom.session import durable, scratch_path
 
 LENGTH = 100
 WIDTH = 28
-GROUP_PHRASES = 20_000
-CHUNK_BYTES = 1 << 19
-PIECE = 4 << 20
+GROUP_PHRASES = 8_000
+CHUNK_BYTES = 1 << 18
+PIECE = 1 << 20
 #: place: start of the first string << 16 | (strings - 1) << 8 | trigger - start
 PHRASES = "trigger long, phrase long, doc_id long, place long"
 MARKS = "trigger long, doc_id long, place long"
@@ -72,7 +72,7 @@ def phrases(texts: DataFrame, length: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", PIECE):
                 data, offsets = flat_bytes(part.column(1))
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 for at in range(0, max(len(data), 1), PIECE) if len(ids) == 1 else (0,):
@@ -97,7 +97,7 @@ def dictionary(parsed: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None  # trigger and phrase of the last row
+        before: tuple | None = None  # trigger and phrase of the last row, and where that phrase came first
         pending: tuple | None = None  # first row of the open trigger while it is the only phrase
         for batch in batches:
             if not batch.num_rows:
@@ -112,7 +112,12 @@ def dictionary(parsed: DataFrame) -> DataFrame:
             shared = np.unique(run_id[another])
             first_rows = np.flatnonzero(new_trigger & np.isin(run_id, shared))
             take = np.sort(np.concatenate([np.flatnonzero(another), first_rows]))
-            repeats = np.flatnonzero(~new_phrase)
+            # A row at its phrase's first place is that place again: a repeated row of one document.
+            origin = np.maximum.accumulate(np.where(new_phrase, np.arange(len(doc)), -1))
+            origin_doc, origin_place = doc[origin], place[origin]
+            if before is not None:
+                origin_doc, origin_place = np.where(origin < 0, before[2], origin_doc), np.where(origin < 0, before[3], origin_place)
+            repeats = np.flatnonzero(~new_phrase & ((doc != origin_doc) | (place != origin_place)))
             rows_t = np.concatenate([trigger[take], np.zeros(len(repeats), np.int64)])
             rows = np.concatenate([take, repeats])
             lists = [rows_t, doc[rows], place[rows]]
@@ -127,7 +132,7 @@ def dictionary(parsed: DataFrame) -> DataFrame:
                 pending = (trigger[i], doc[i], place[i])
             elif last > 0:
                 pending = None
-            before = (trigger[-1], phrase[-1])
+            before = (trigger[-1], phrase[-1], origin_doc[-1], origin_place[-1])
             if len(null):
                 columns = [pa.array(lists[0], pa.int64(), mask=null), *(pa.array(x, pa.int64()) for x in lists[1:])]
                 yield pa.RecordBatch.from_arrays(columns, ["trigger", "doc_id", "place"])
@@ -185,11 +190,12 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     Prefix doubling: ranks of eight bytes, then of twice as many from two ranks each, until two
     overlapping ranks cover ``length``.
     """
-    window = np.lib.stride_tricks.sliding_window_view(data, min(8, length)).astype(np.uint64)
-    ranks = np.zeros(len(window), np.uint64)
-    for column in range(window.shape[1]):
-        ranks = ranks << np.uint64(8) | window[:, column]
-    covered = window.shape[1]
+    covered = min(8, length)
+    n = len(data) - covered + 1
+    ranks = np.zeros(n, np.uint64)
+    for byte in range(covered):
+        ranks <<= np.uint64(8)
+        ranks |= data[byte : byte + n]
     ranks = np.unique(ranks, return_inverse=True)[1].astype(np.int64)
     while covered < length:
         step = min(covered, length - covered)
