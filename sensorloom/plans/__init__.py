@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from sensorloom.plans import behavior, devices, rooms, streams  # noqa: F401
+    from sensorloom.plans import behavior, devices, rooms, stored, streams  # noqa: F401

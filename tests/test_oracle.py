@@ -39,3 +39,8 @@ def test_flagship(spark):
 def test_time_filters_reach_the_scan(spark):
     plan = entry.queries()["analysis_slice"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [GreaterThanOrEqual(ts,2024-01-08T00:00), LessThan(ts,2024-01-15T00:00)" in plan
+
+
+def test_stored_log_is_pruned_by_date_and_room(spark):
+    plan = entry.queries()["stored_room_events"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "PushedFilters: [IsNotNull(ts), IsNotNull(room_id)" in plan
