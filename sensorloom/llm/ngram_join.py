@@ -67,9 +67,21 @@ def prefixes(docs: DataFrame, k: int, percent: int, matches: int, hot: np.ndarra
 
 
 def hot_tokens(base: DataFrame) -> np.ndarray:
-    """The most frequent prefix tokens, at most ``HOT_TOKENS``. Which ones changes only the work, never the result."""
-    counts = base.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") >= HOT_FROM)
-    return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "token").limit(HOT_TOKENS).collect()], np.int64))
+    """The most frequent prefix tokens, at most ``HOT_TOKENS``.
+
+    Tokens that occur once in a batch of documents are not counted: common ones occur more often
+    there. Which tokens are taken changes only the work, never the result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, counts = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            often = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[often], pa.int64()), pa.array(counts[often], pa.int64())], ["token", "n"])
+
+    local = base.select("prefix").mapInArrow(run, "token long, n long")
+    counts = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
+    return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()], np.int64))
 
 
 def representatives(sets: DataFrame) -> DataFrame:
@@ -80,6 +92,16 @@ def representatives(sets: DataFrame) -> DataFrame:
     return sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
 
 
+def one_each(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """``doc_id, n, prefix`` of the representatives, without a shuffle of prefixes unless doc_ids repeat."""
+    named = sets.where("n > 0 and doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        copies = named.select("doc_id", "sig").join(reps, "sig").where("doc_id <> rep").select("doc_id")
+        return named.join(sized_side(copies), "doc_id", "left_anti").select("doc_id", "n", "prefix")
+    own = reps.groupBy("rep").agg(F.min("sig").alias("sig")).select(F.col("rep").alias("doc_id"), "sig")
+    return named.join(own, ["doc_id", "sig"], "left_semi").select("doc_id", "n", "prefix").dropDuplicates(["doc_id"])
+
+
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``, more columns are ignored).
 
@@ -91,9 +113,8 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     hot = hot_tokens(prefixes(docs, k, percent, 1, np.zeros(0, np.int64)))
     sets = durable(prefixes(docs, k, percent, MOST_MATCHES, hot))
     reps = durable(representatives(sets))
-    own = reps.groupBy("rep").agg(F.min("sig").alias("sig")).select(F.col("rep").alias("doc_id"), "sig")
-    links = candidate_links(sets.join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"]), percent)
-    clusters = durable(components(links, "doc_id", "root"))
+    links = candidate_links(one_each(sets, reps), percent)
+    clusters = components(links, "doc_id", "root")
     edges = verified_links(docs, clusters, sets.select("doc_id", "n"), k, percent)
     found = components(edges, "doc_id", "root").select(F.col("id").alias("rep"), F.col("component"))
     labelled = durable(reps.join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id")))
@@ -123,10 +144,12 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
     ``SMALL_BUCKET`` hold meet in blocks, which give out a spanning forest. A bucket is left
     out where all its members have one such token in common and so meet there.
     """
-    tokens = sets.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token"))
+    # The least number of matches whose prefix reaches as far as the token.
+    level = F.greatest(F.col("pos") - F.expr(f"n - (n * {percent} + 99) div 100") + 1, F.lit(1)).cast("int")
+    tokens = sets.select("doc_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", level.alias("level"))
     shared = durable(tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1"))
-    mine = tokens.join(shared, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("pos", "token", "freq")).alias("found"))
-    chosen = durable(adaptive(mine, percent))
+    found = tokens.join(shared, "token").groupBy("doc_id").agg(F.collect_list(F.struct("level", "token", "freq")).alias("found"))
+    chosen = durable(adaptive(found.join(sets.select("doc_id", "n"), "doc_id"), percent))
     narrow = chosen.withColumn("top_freq", F.array_max(F.transform("tokens", lambda t: t["freq"]))).select(
         "doc_id", "n", "matches", "top", "top_freq", F.explode("tokens").alias("t")
     )
@@ -173,12 +196,12 @@ def adaptive(mine: DataFrame, percent: int) -> DataFrame:
             found = batch.column(2)
             offsets = found.offsets.to_numpy()
             flat = found.values
-            pos, token, freq = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            level, token, freq = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             out = []
             for i, (doc, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 a, b = offsets[i], offsets[i + 1]
-                order = np.argsort(pos[a:b])
-                p, t, f = pos[a:b][order], token[a:b][order], freq[a:b][order]
+                order = np.argsort(level[a:b], kind="stable")
+                p, t, f = level[a:b][order], token[a:b][order], freq[a:b][order]
                 need = needed(n, percent)
                 partner = needed(needed(n, percent), percent)
                 if len(t) < min(LEAST_MATCHES, partner):
@@ -186,12 +209,12 @@ def adaptive(mine: DataFrame, percent: int) -> DataFrame:
                 lookups = np.cumsum(f - 1)
                 best, least = None, 0.0
                 for matches in range(LEAST_MATCHES, MOST_MATCHES + 1):
-                    end = np.searchsorted(p, n - need + matches)
+                    end = np.searchsorted(p, matches, "right")
                     cost = lookups[end - 1] * (1.0 + n / 32 / matches**2) if end else 0.0
                     if best is None or cost < least:
                         best, least = matches, cost
                 matches = min(best, need)
-                end = np.searchsorted(p, n - need + matches)
+                end = np.searchsorted(p, matches, "right")
                 if not end:
                     continue
                 top = t[:end][np.lexsort((t[:end], -f[:end]))[0]]
@@ -207,8 +230,12 @@ def adaptive(mine: DataFrame, percent: int) -> DataFrame:
 
 
 def verified_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
-    """A spanning forest of the true links inside each cluster of candidates, from whole texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(clusters, "id")
+    """A spanning forest of the true links inside each cluster of candidates, from whole texts.
+
+    Texts meet a small table of clusters where they are read; beyond its checked size they are shuffled.
+    """
+    clusters = durable(clusters)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(sized_side(clusters), "id")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
