@@ -2,8 +2,10 @@
 
 A window over ``room_id`` alone would sort every reading of a busy room in one task. Here
 each key is cut into slices of time. Rows are ordered inside their slice only; one summary
-row per slice is carried forward along the key, and joined back to the slice. The rows move
-through one shuffle on (key, slice), which the join reuses.
+row per slice is carried forward along the key, and joined back to the slice. The input is read
+twice: once for the rows, which are shuffled on (key, slice), and once for the summaries, which
+are combined before their shuffle. The two reads prune different columns, so Spark shares
+neither; fold over the stored log, where the second read is a narrow scan.
 """
 
 from __future__ import annotations
