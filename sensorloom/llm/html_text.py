@@ -36,6 +36,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPES = frozenset("table ul ol dl div article section main body html td th nav aside select menu".split())
 GROUPS = frozenset("article aside body center details dialog div fieldset footer form header main menu nav section td th table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ANCHORS = HEADINGS | {"p", "li", "dt", "dd", "a", "span"}  # their ids name places in a text, not its layout
 BOILER_TAGS = frozenset("nav aside footer menu select button dialog option head".split())
 SOFT_TAGS = frozenset("header form fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -52,7 +53,8 @@ CONTENT_NAMES = frozenset("article main content post entry story text body".spli
 
 # Log-odds of content, in units of the smoothness edges.
 W_BOILER, W_MAIN, W_OUTSIDE, W_NAMED, W_LINKS, W_PRIOR = -9.0, 6.0, -4.0, 3.0, -5.0, -0.5
-TIE_NEXT, TIE_FAR, TIE_SIBLING = 1.0, 0.3, 0.8
+W_HEADING = 0.8
+TIE_NEXT, TIE_BESIDE, TIE_FAR, TIE_SIBLING = 1.0, 0.5, 0.3, 0.8
 
 
 class Place:
@@ -77,7 +79,7 @@ class Place:
                     boiler = boiler or bool(HIDDEN.search(value))
                 elif kind == "hidden" or kind == "aria-hidden":
                     boiler = boiler or value.lower() in ("", "true", "hidden")
-                else:
+                elif kind != "id" or name not in ANCHORS:
                     words = {w.lower() for w in NAME.findall(value)}
                     if words & BOILER_NAMES:
                         boiler = True
@@ -182,6 +184,8 @@ def content_score(block: Block, has_main: bool) -> float:
     score = W_PRIOR + min(2.0, words / 15) + (W_MAIN if place.main else W_OUTSIDE if has_main else 0.0)
     if place.named:
         score += W_NAMED
+    if block.heading:
+        score += W_HEADING
     if place.soft:
         score += W_OUTSIDE
     score += W_LINKS * (block.links / len(text)) ** 2
@@ -263,8 +267,9 @@ def main_text(html: str) -> str:
     for i, block in enumerate(blocks):
         key = block.place.group
         if i:
-            same = blocks[i - 1].place.main == block.place.main and blocks[i - 1].place.boiler == block.place.boiler
-            ties.append((i - 1, i, TIE_NEXT if same else TIE_FAR))
+            before = blocks[i - 1].place
+            same = before.main == block.place.main and before.boiler == block.place.boiler
+            ties.append((i - 1, i, (TIE_NEXT if before.group == key else TIE_BESIDE) if same else TIE_FAR))
         if key in last and last[key] != i - 1:
             ties.append((last[key], i, TIE_SIBLING))
         last[key] = i
