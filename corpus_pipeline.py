@@ -10,37 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sensorloom.llm import decontaminate, mixing, ngram_join, quality, token_files
 from sensorloom.llm.queries import tokenizer_path
-from sensorloom.llm.registry import read
-from sensorloom.session import scratch_path, ship_package
+from sensorloom.llm.registry import prepare, read
+from sensorloom.session import scratch_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated quality score is 0.7 or more."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word shingle similarity 0.8 or more."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.keep_one_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ship_package(spark)
+    prepare(spark)
     return decontaminate.keep_uncontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mixed_documents(docs, mixing.cycle_weights)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix; one row per document in them."""
-    ship_package(spark)
+    prepare(spark)
     return token_files.token_files(docs, tokenizer_path())
 
 

@@ -286,7 +286,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "html", 8 << 20):
+            for part in slices(batch, "html", 4 << 20):
                 texts = [main_text(h or "") for h in part.column(2).to_pylist()]
                 columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])

@@ -91,7 +91,7 @@ def document_statistics(docs: DataFrame, keep: list[str], text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text", 8 << 20):
+            for part in slices(batch, "_text", 4 << 20):
                 values = [statistics(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 columns = [*part.columns[:-1], pa.array(values, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "features"])
@@ -240,7 +240,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 values = [statistics(t or "") for t in part.column(place).to_pylist()]
                 score = model.score(np.array(values).reshape(-1, d))
                 yield part.filter(pa.array(score >= least))

@@ -24,6 +24,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and bound Arrow batches by bytes, for texts of any length.
+
+    Spark's default is 64 MB, of which a worker and its executor hold several at a time.
+    """
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from sensorloom.session import ship_package
+from sensorloom.llm.registry import prepare
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, hashes string, pos int, block long"
 
@@ -37,7 +37,7 @@ def texts(seed: int = 1, count: int = 40) -> list[tuple[int | None, str | None]]
 
 def documents(spark, rows=None):
     """The rows as documents, with extra columns named like columns that operators use."""
-    ship_package(spark)
+    prepare(spark)
     rows = texts() if rows is None else rows
     full = [(d, t, "en", f"s{(d or 0) % 3}" if (d or 0) % 7 else None, len(t or ""), "h", 1, 2) for d, t in rows]
     return spark.createDataFrame(full, SCHEMA).repartition(5)
