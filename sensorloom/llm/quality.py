@@ -216,7 +216,7 @@ def labels_by_document(labels: DataFrame, column: str = "quality") -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Weights from labelled rows of folds 0 and 1, calibration from fold 3; fold 2 is never learnt from.
 
-    All labelled rows count, nothing is sampled. Only labelled texts are read into statistics.
+    All labelled rows count, nothing is sampled.
     """
     return _trained(docs.select("doc_id", "text"), labels, None)
 
