@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm.arrow_text import trimmed
 from sensorloom.llm.graph import components
 from sensorloom.llm.grouped import blocks, map_groups
 from sensorloom.session import durable
@@ -48,7 +49,7 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, labels, pa.array(units, pa.binary())], ["vec_id", "label", "unit"])
 
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>"), F.col("label").cast("long").alias("label"))
-    return source.mapInArrow(run, "vec_id long, label long, unit binary")
+    return source.mapInArrow(trimmed(run), "vec_id long, label long, unit binary")
 
 
 def choose_pivots(classes: DataFrame, total: int) -> dict:
@@ -108,7 +109,7 @@ def cells(classes: DataFrame, pivots: dict, radius: float) -> DataFrame:
                 columns = list(zip(*out[at : at + 4096]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return classes.select("label", "unit", "rep", "n").mapInArrow(run, "label long, size int, cell int, home boolean, rep long, n long, unit binary")
+    return classes.select("label", "unit", "rep", "n").mapInArrow(trimmed(run), "label long, size int, cell int, home boolean, rep long, n long, unit binary")
 
 
 def cell_links(placed: DataFrame, cosine: float) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.llm.arrow_text import trimmed
+
 
 def blocks(rows: DataFrame, key: str, member: Column, parts: Column) -> DataFrame:
     """Cut large groups so that every pair of members still meets in some block.
@@ -61,7 +63,7 @@ def map_groups(rows: DataFrame, key: str, function: Callable[[pa.Table], pa.Reco
         if out:
             yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    return rows.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+    return rows.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(trimmed(run), schema)
 
 
 def spanning_links(ids: np.ndarray, flat: np.ndarray, offsets: np.ndarray, linked: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> tuple[list, list]:

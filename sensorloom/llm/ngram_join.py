@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.arrow_text import shingle_sets, slices
+from sensorloom.llm.arrow_text import shingle_sets, slices, trimmed
 from sensorloom.llm.graph import components
 from sensorloom.llm.grouped import blocks, map_groups, spanning_links
 from sensorloom.session import durable, sized_side
@@ -28,7 +28,7 @@ HOT_TOKENS = 10_000
 HOT_FROM = 64
 SMALL_BUCKET = 8
 BLOCK_MEMBERS = 4_096
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 EDGES = "doc_id long, root long"
 EDGE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("root", pa.int64())])
 
@@ -63,7 +63,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, matches: int, hot: np.ndarra
                 )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n int, sig binary, prefix array<long>")
+    return source.mapInArrow(trimmed(run), "doc_id long, n int, sig binary, prefix array<long>")
 
 
 def hot_tokens(base: DataFrame) -> np.ndarray:
@@ -79,7 +79,7 @@ def hot_tokens(base: DataFrame) -> np.ndarray:
             often = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(tokens[often], pa.int64()), pa.array(counts[often], pa.int64())], ["token", "n"])
 
-    local = base.select("prefix").mapInArrow(run, "token long, n long")
+    local = base.select("prefix").mapInArrow(trimmed(run), "token long, n long")
     counts = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
     return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()], np.int64))
 
@@ -226,7 +226,7 @@ def adaptive(mine: DataFrame, percent: int) -> DataFrame:
             columns = [pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(ends, pairs), pa.array(top, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "matches", "tokens", "top"])
 
-    return mine.select("doc_id", "n", "found").mapInArrow(run, "doc_id long, n int, matches int, tokens array<struct<token:long,freq:long>>, top long")
+    return mine.select("doc_id", "n", "found").mapInArrow(trimmed(run), "doc_id long, n int, matches int, tokens array<struct<token:long,freq:long>>, top long")
 
 
 def verified_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -246,7 +246,7 @@ def verified_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, k: in
                 arrays = [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "component", "tokens"])
 
-    sets = texts.select("id", "component", "text").mapInArrow(shingle, "doc_id long, component long, tokens array<long>")
+    sets = texts.select("id", "component", "text").mapInArrow(trimmed(shingle), "doc_id long, component long, tokens array<long>")
     large = clusters.join(sizes, clusters["id"] == sizes["doc_id"]).groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS)
     joined = sets.join(durable(large), "component", "left")
     dealt = blocks(joined, "component", F.col("doc_id"), F.ceil(F.coalesce("total", F.lit(1)) / BLOCK_TOKENS))

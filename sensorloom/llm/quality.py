@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.llm.arrow_text import slices
+from sensorloom.llm.arrow_text import slices, trimmed
 from sensorloom.session import durable
 
 FEATURES = [
@@ -96,7 +96,7 @@ def document_statistics(docs: DataFrame, keep: list[str], text: str = "text") ->
                 columns = [*part.columns[:-1], pa.array(values, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:-1], "features"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 @dataclass
@@ -154,7 +154,7 @@ def fit(labelled: DataFrame, dimensions: int = DIMENSIONS, width: float = WIDTH,
                 total += x.T @ np.column_stack([x, batch.column(1).to_numpy(zero_copy_only=False)])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    parts = rows.where("fold = 0").select("features", "label").coalesce(PARTS).mapInArrow(sums, "part binary").collect()
+    parts = rows.where("fold = 0").select("features", "label").coalesce(PARTS).mapInArrow(trimmed(sums), "part binary").collect()
     total = sum((np.frombuffer(bytes(p.part)).reshape(size, size + 1) for p in parts), np.zeros((size, size + 1)))
     penalty = np.eye(size) * ridge * max(n, 1)
     penalty[-1, -1] = 1e-9
@@ -200,7 +200,7 @@ def _scored(rows: DataFrame, keep: list[str], model: Model, raw: bool = False) -
             score = (model.raw(x) if raw else model.score(x)) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(trimmed(run), schema)
 
 
 def fold(doc_id: Column) -> Column:
@@ -245,7 +245,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFra
                 score = model.score(np.array(values).reshape(-1, d))
                 yield part.filter(pa.array(score >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:

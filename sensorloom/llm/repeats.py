@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.arrow_text import flat_bytes, rolling_hash, slices
+from sensorloom.llm.arrow_text import flat_bytes, rolling_hash, slices, trimmed
 from sensorloom.session import durable, scratch_path
 
 LENGTH = 100
@@ -87,7 +87,7 @@ def phrases(texts: DataFrame, length: int, width: int) -> DataFrame:
                     columns = [trigger, phrase, ids[doc], place]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["trigger", "phrase", "doc_id", "place"])
 
-    return texts.mapInArrow(run, PHRASES)
+    return texts.mapInArrow(trimmed(run), PHRASES)
 
 
 def dictionary(parsed: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def dictionary(parsed: DataFrame) -> DataFrame:
                 columns = [pa.array(lists[0], pa.int64(), mask=null), *(pa.array(x, pa.int64()) for x in lists[1:])]
                 yield pa.RecordBatch.from_arrays(columns, ["trigger", "doc_id", "place"])
 
-    return parsed.repartition(F.col("trigger")).sortWithinPartitions("trigger", "phrase", "doc_id", "place").mapInArrow(run, MARKS)
+    return parsed.repartition(F.col("trigger")).sortWithinPartitions("trigger", "phrase", "doc_id", "place").mapInArrow(trimmed(run), MARKS)
 
 
 def suffixes(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
@@ -177,7 +177,7 @@ def suffixes(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                     keys = [r.between(r.prefixes(data), at, at + length).view(np.int64) for r in (rolling_hash(4), rolling_hash(5))]
                     yield _suffix_rows([*keys, ids[doc[owner]], ((place[owner] >> 16) + step) << 16], pa.nulls(len(owner), pa.binary()))
 
-    return texts.join(by_doc, "doc_id").select("doc_id", "text", "found").mapInArrow(run, SUFFIXES)
+    return texts.join(by_doc, "doc_id").select("doc_id", "text", "found").mapInArrow(trimmed(run), SUFFIXES)
 
 
 def _suffix_rows(columns: list[np.ndarray], blobs: pa.Array) -> pa.RecordBatch:
@@ -259,7 +259,7 @@ def later_strings(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield _runs(*sort_chunk(held))
 
-    return rows.repartition(F.col("key")).sortWithinPartitions("key", "tie", "doc_id", "place").mapInArrow(run, SPANS)
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", "tie", "doc_id", "place").mapInArrow(trimmed(run), SPANS)
 
 
 def _runs(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -322,7 +322,7 @@ def _remove(rows: DataFrame, length: int) -> DataFrame:
                 columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "spans", "kept"])
 
-    return rows.select("doc_id", "text", "found").mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return rows.select("doc_id", "text", "found").mapInArrow(trimmed(run), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def merge_runs(found: pa.StructArray, length: int) -> list[tuple[int, int]]:

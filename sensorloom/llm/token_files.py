@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorloom.llm.arrow_text import SPACE, flat_bytes, rolling_hash, slices
+from sensorloom.llm.arrow_text import SPACE, flat_bytes, rolling_hash, slices, trimmed
 from sensorloom.session import durable, scratch_path
 
 END = 0
@@ -135,7 +135,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n + 1, pa.int64()), blobs], ["doc_id", "n", "ids"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n long, ids binary")
+    return source.mapInArrow(trimmed(run), "doc_id long, n long, ids binary")
 
 
 def _blobs(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -164,7 +164,7 @@ def ranked(tokens: DataFrame) -> np.ndarray:
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    counts = tokens.select("n", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = tokens.select("n", "ids").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], np.uint32)
 
 
@@ -312,9 +312,9 @@ def write_token_files(tokens: DataFrame, uri: str, order: np.ndarray) -> DataFra
 
     spark = tokens.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    coded = tokens.mapInArrow(code, "doc_id long, n long, control binary, data binary")
+    coded = tokens.mapInArrow(trimmed(code), "doc_id long, n long, control binary, data binary")
     sorted_ = coded.repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id", "n", "data")
-    return durable(sorted_.mapInArrow(run, "file string, n long"))
+    return durable(sorted_.mapInArrow(trimmed(run), "file string, n long"))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], order: np.ndarray) -> Iterator[tuple[str, int, list, np.ndarray, np.ndarray]]:
@@ -345,7 +345,7 @@ def read_token_files(spark: SparkSession, uri: str) -> DataFrame:
             columns = [pa.array([file] * len(names)), pa.array(range(place, place + len(names)), pa.int64()), pa.array(names, pa.int64()), pa.array(counts), blobs]
             yield pa.RecordBatch.from_arrays(columns, ["file", "place", "doc_id", "n", "ids"])
 
-    return files.mapInArrow(run, "file string, place long, doc_id long, n long, ids binary")
+    return files.mapInArrow(trimmed(run), "file string, place long, doc_id long, n long, ids binary")
 
 
 def read_digests(spark: SparkSession, uri: str) -> DataFrame:
@@ -363,7 +363,7 @@ def read_digests(spark: SparkSession, uri: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["file", "doc_id", "inside", "n_tokens", "ids_crc32"])
             base += int(ends[-1])
 
-    return files.mapInArrow(run, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(trimmed(run), "file string, doc_id long, inside long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, name: str = "tokens") -> DataFrame:

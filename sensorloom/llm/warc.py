@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom.llm.arrow_text import trimmed
 from sensorloom.session import durable, scratch_path
 
 MIN_REVISIT_BYTES = 100
@@ -92,7 +93,7 @@ def write_warc(records: DataFrame, uri: str, date: str = "2024-01-01T00:00:00Z",
             names = [f"part-{part:06d}/{i:05d}.warc.gz" for i in range(len(done))]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(done, pa.int64())], ["file", "records"])
 
-    return records.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(run, "file string, records long")
+    return records.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(trimmed(run), "file string, records long")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -243,7 +244,7 @@ def read_warc(spark: SparkSession, uri: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.mapInArrow(run, RECORD_SCHEMA)
+    return files.mapInArrow(trimmed(run), RECORD_SCHEMA)
 
 
 def archive_round_trip(pages: DataFrame, name: str = "warc") -> DataFrame:
