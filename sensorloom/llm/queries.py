@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import decontaminate, embedding_join, html_text, mixing, ngram_join, passages, quality, repeats, token_files, warc
+from sensorloom.llm import conversations, decontaminate, embedding_join, hard_negatives, html_text, mixing, ngram_join, passages, quality, repeats, token_files, warc
 from sensorloom.llm.registry import query, read
 from sensorloom.session import durable
 
@@ -92,3 +92,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that documents share with earlier ones, edited or not."""
     return passages.fuzzy_passages(read(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", hard_negatives.SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh are moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op12_conversations")
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation; those left without rows have nothing to repair."""
+    rows = read(spark, sf_dir, "conversations")
+    report = conversations.repair_conversations(conversations.damage(rows)).withColumnRenamed("conv_id", "_id")
+    every = rows.select("conv_id").distinct()
+    joined = every.join(report, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    return joined.select("conv_id", *[F.coalesce(n, nothing.get(n, F.lit(0).cast("long"))).alias(n) for n, _ in conversations.REPORT])
