@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import conversations, decontaminate, embedding_join, hard_negatives, html_text, mixing, ngram_join, passages, quality, repeats, token_files, warc
+from sensorloom.llm import conversations, decontaminate, embedding_join, hard_negatives, html_text, language, mixing, ngram_join, passages, quality, repeats, token_files, warc
 from sensorloom.llm.registry import query, read
 from sensorloom.session import durable
 
@@ -111,3 +111,10 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = every.join(report, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
     nothing = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit("").cast("binary"), 256)}
     return joined.select("conv_id", *[F.coalesce(n, nothing.get(n, F.lit(0).cast("long"))).alias(n) for n, _ in conversations.REPORT])
+
+
+@query("op11_language")
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    found = language.identify(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", (language.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
