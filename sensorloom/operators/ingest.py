@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom.operators.classify import classify
 from sensorloom.operators.enrich import enrich
 from sensorloom.operators.validate import any_problem, accept, event_problems
-from sensorloom.schema import DEFAULT_RULES, Rule
+from sensorloom.schema import DEFAULT_RULES, EVENT_SCHEMA, Rule
 
 
 def accepted_log(readings: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
@@ -42,11 +42,11 @@ def ingest_stats(readings: DataFrame) -> DataFrame:
 
 
 def drop_retries(events: DataFrame) -> DataFrame:
-    """Batch form: one row per event id. Retries carry the same content, so any may stay.
+    """Batch form: copies are readings that are equal in every field, as in ``LogTable``.
 
-    Copies are combined map-side, however many there are of one id.
+    Columns beside the fields of a reading do not count. Copies are combined map-side, however many there are of one reading.
     """
-    return events.dropDuplicates(["event_id"])
+    return events.dropDuplicates([c for c in EVENT_SCHEMA.names if c in events.columns])
 
 
 def status_counts(log: DataFrame) -> DataFrame:

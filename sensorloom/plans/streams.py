@@ -20,6 +20,7 @@ from sensorloom.session import scratch_path, ship_package, use_utc
 from sensorloom.sources import tables
 from sensorloom.sources.log import read_log
 from sensorloom.streaming import admission, ingest, sinks, timers
+from sensorloom.streaming import events as upserts
 
 ONCE = {"availableNow": True}
 
@@ -71,6 +72,99 @@ def stream_room_state(spark, sf):
     return naive(state.flat_state(table.read()))
 
 
+def accepted(rows: DataFrame) -> DataFrame:
+    return classify(enrich(ingest.split_readings(rows)[0]))
+
+
+def numbered(rows: DataFrame, batches: int):
+    """The rows cut into batches by the checksum of their ids."""
+    number = F.crc32(F.col("event_id").cast("binary")) % batches
+    return [(i, rows.where(number == i)) for i in range(batches)]
+
+
+@query("stream_replayed_rooms", ORACLES["stream_room_state"])
+def stream_replayed_rooms(spark, sf):
+    """Batches reach the log, rooms follow, and then batches are written again, as after a crash before the commit."""
+    root = scratch_path(use_utc(spark), "replayed")
+    log = sinks.LogTable(spark, f"{root}/log")
+    log.create()
+    batches = numbered(tables.readings(spark, sf), 3)
+    with one_state_store_per_core(spark):
+        for i, rows in batches:
+            log.append(accepted(rows), i)
+            if i:
+                ingest.start_rooms(spark, root, **ONCE).awaitTermination()
+                log.append(accepted(rows), i)
+        ingest.start_rooms(spark, root, **ONCE).awaitTermination()
+    return naive(state.flat_state(sinks.StateTable(spark, f"{root}/rooms", ["room_id"]).read()))
+
+
+@query(
+    "stream_counts",
+    f"""WITH {LOG}, t AS (SELECT (SELECT count(*) FROM readings) AS n, (SELECT count(*) FROM log) AS a,
+      (SELECT count(*) FROM readings WHERE CAST(event_id AS BIGINT) % 5 = 0) AS n2,
+      (SELECT count(*) FROM log WHERE CAST(event_id AS BIGINT) % 5 = 0) AS a2)
+    SELECT n + n2 AS total, a + a2 AS accepted, n + n2 - a - a2 AS rejected, a AS stored, a2 AS duplicates FROM t""",
+)
+def stream_counts(spark, sf):
+    """What each batch brought, kept and refused, as it was observed on the way; every fifth reading comes twice."""
+    root = scratch_path(use_utc(spark), "counts")
+    log = sinks.LogTable(spark, f"{root}/log")
+    once = tables.readings(spark, sf)
+    sent = once.unionByName(once.where(F.col("event_id").cast("bigint") % 5 == 0))
+    source = by_arrival(spark, sent.withColumn("_n", F.hash("event_id", "value") % 3), F.col("_n"), "counted").drop("_n")
+    ingest.ingest_log(spark, source, f"{root}/log", f"{root}/checkpoint", **ONCE).awaitTermination()
+    columns = ("total", "accepted", "rejected", "stored", "duplicates")
+    return log.stats().agg(*[F.sum(c).cast("bigint").alias(c) for c in columns])
+
+
+BATCHINGS = (1, 3, 6)
+
+
+@query(
+    "stream_batchings",
+    f"""WITH {LOG}, twice AS (SELECT event_id, room_id, sensor_type, value, ts, status FROM log
+      UNION ALL SELECT event_id, room_id, sensor_type, value, ts + INTERVAL 3 HOUR, status FROM log WHERE CAST(event_id AS BIGINT) % 11 = 0)
+    SELECT b.batches, t.* FROM twice t, (VALUES {", ".join(f"({n})" for n in BATCHINGS)}) b(batches)""",
+)
+def stream_batchings(spark, sf):
+    """The same readings in one, three and six batches: some come twice, some ids are used again three hours later."""
+    once = tables.readings(use_utc(spark), sf)
+    number = F.col("event_id").cast("bigint")
+    again = once.where(number % 11 == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 3 HOURS"))
+    sent = once.withColumn("_copy", F.lit(0)).unionByName(again.withColumn("_copy", F.lit(1))).unionByName(once.where(number % 4 == 1).withColumn("_copy", F.lit(2)))
+    out = None
+    for batches in BATCHINGS:
+        log = sinks.LogTable(spark, scratch_path(spark, f"batching-{batches}") + "/log")
+        log.create()
+        place = F.pmod(F.xxhash64("event_id", "_copy"), F.lit(batches))
+        for i in range(batches):
+            log.append(accepted(sent.where(place == i).drop("_copy")), i)
+        rows = read_log(spark, log.path).select(F.lit(batches).alias("batches"), "event_id", "room_id", "sensor_type", "value", "ts", "status")
+        out = rows if out is None else out.unionByName(rows)
+    return naive(out)
+
+
+@query(
+    "stream_last_writes",
+    f"""WITH {LOG}, puts AS (SELECT event_id, room_id, sensor_type, value + b AS value, date_trunc('hour', ts)::TIMESTAMP AS ts, b FROM log,
+      (VALUES (0), (1), (2), (3)) t(b) WHERE b = CAST(event_id AS BIGINT) % 3 OR (b = 3 AND CAST(event_id AS BIGINT) % 7 = 0))
+    SELECT room_id, ts, event_id, sensor_type, value FROM puts
+    QUALIFY row_number() OVER (PARTITION BY room_id, ts ORDER BY b DESC, event_id DESC) = 1""",
+)
+def stream_last_writes(spark, sf):
+    """Puts in four batches with a compaction between them; one batch is put twice."""
+    log = accepted(tables.readings(use_utc(spark), sf)).withColumn("ts", F.date_trunc("hour", "ts"))
+    number = F.col("event_id").cast("bigint")
+    table = upserts.EventTable(spark, scratch_path(spark, "upserts"))
+    for batch in (0, 1, 1, 2, 3):
+        if batch == 2:
+            table.compact(1)
+        chosen = number % 7 == 0 if batch == 3 else number % 3 == batch
+        table.put(log.where(chosen).withColumn("value", F.col("value") + batch), batch)
+    return naive(table.read().select("room_id", "ts", "event_id", "sensor_type", "value"))
+
+
 @query(
     "stream_dedup",
     f"""WITH {LOG} SELECT room_id || '_' || {EPOCH} || '_' || sensor_type AS event_id, room_id, sensor_type, value, ts
@@ -226,3 +320,18 @@ def stream_admission_by_tier(spark, sf):
     source = by_arrival(spark, messages, F.col("ts"), "messages")
     admission.start_admission(spark, source, root, limits, **ONCE).awaitTermination()
     return spark.read.parquet(f"{root}/decisions").drop("batch", "window_no")
+
+
+@query(
+    "stream_admission_shuffled",
+    f"""WITH {MESSAGES}, m AS (SELECT message_id, device_id, ts, row_number() OVER (PARTITION BY device_id, date_trunc('hour', ts)
+      ORDER BY CAST(message_id AS BIGINT) % 3, ts, message_id) AS number FROM messages)
+    SELECT message_id, device_id, ts, number, number <= {ADMIT} AS admitted FROM m""",
+)
+def stream_admission_shuffled(spark, sf):
+    """Batches that each reach every hour: a message is counted when it comes, whatever time it carries."""
+    messages = tables.as_messages(tables.table(use_utc(spark), sf, "events")).select("message_id", "device_id", "ts")
+    root = scratch_path(spark, "shuffled-admission")
+    source = by_arrival(spark, messages, F.col("message_id").cast("bigint") % 3, "shuffled", 3)
+    admission.start_admission(spark, source, root, ADMIT, **ONCE).awaitTermination()
+    return spark.read.parquet(f"{root}/decisions").drop("batch", "window_no")

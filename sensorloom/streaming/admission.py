@@ -9,47 +9,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sensorloom.functions.times import time_chunk
 from sensorloom.operators.devices import HOUR, admission
-from sensorloom.streaming.sinks import StateTable, each_batch
+from sensorloom.streaming.merge import MergeTable, day_of, summed
+from sensorloom.streaming.sinks import each_batch
 
 KEY = ["device_id", "window_no"]
-DAY = 86_400
 
 
-class DayCounters(StateTable):
-    """Messages used per device and window, in ``day=D/version=N``.
+def counters(spark: SparkSession, path: str, id_type: T.DataType) -> MergeTable:
+    """Messages per device and window, one part per day.
 
-    A batch reads and rewrites the days of its own messages only. Nothing is evicted by the time of
-    other messages: a wrong clock touches its own day, and a late message finds its counter.
+    A batch writes the counts of its own devices and windows only, and reads the days its own
+    messages reach. Nothing is evicted by the time of other messages: a wrong clock touches its
+    own day, and a late message finds its counter.
     """
-
-    def __init__(self, spark: SparkSession, path: str, id_type: T.DataType):
-        super().__init__(spark, path, KEY)
-        fields = [("device_id", id_type), ("window_no", T.LongType()), ("used", T.LongType()), ("day", T.LongType()), ("version", T.LongType())]
-        self.schema = T.StructType([T.StructField(n, t) for n, t in fields])
-
-    def of_days(self, days: list[int], before: int) -> DataFrame | None:
-        """Counters of these days in their newest versions before a batch."""
-        fs, path = self._folder()
-        if not fs.exists(path):
-            return None
-        rows = self.spark.read.schema(self.schema).parquet(self.path).where(F.col("day").isin(days) & (F.col("version") < before))
-        newest = rows.groupBy("day").agg(F.max("version").alias("version"))
-        return rows.join(F.broadcast(newest), ["day", "version"], "left_semi").select(*KEY, "used", "day")
-
-    def write_days(self, rows: DataFrame, days: list[int], batch_id: int) -> None:
-        (
-            rows.withColumn("version", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day", "version")
-            .parquet(self.path)
-        )
-        fs, _ = self._folder()
-        new_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for day in days:
-            found = [s.getPath() for s in fs.listStatus(new_path(f"{self.path}/day={day}"))]
-            for old in sorted(int(p.getName()[8:]) for p in found if p.getName().startswith("version="))[:-2]:
-                fs.delete(new_path(f"{self.path}/day={day}/version={old}"), True)
+    fields = [("device_id", id_type), ("window_no", T.LongType()), ("used", T.LongType())]
+    return MergeTable(spark, path, T.StructType([T.StructField(n, t) for n, t in fields]), summed(KEY, "used"))
 
 
 def start_admission(
@@ -60,10 +34,9 @@ def start_admission(
     ``limit`` is one number, or a frame of ``device_id`` and ``limit`` as tiers give it; a device
     that it does not name, or names with null, has no limit. Inside a micro-batch messages
     are numbered like in batch, in slices, so one flooding device does not end up in one task.
-    The batch is read once. A replayed batch overwrites its own output.
+    The batch is read once. A replayed batch overwrites its own output and its own counts.
     """
-    id_type = messages.schema["device_id"].dataType
-    counters = DayCounters(spark, f"{root}/counters", id_type)
+    table = counters(spark, f"{root}/counters", messages.schema["device_id"].dataType)
 
     def decide(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -71,22 +44,19 @@ def start_admission(
             limits = F.lit(limit) if isinstance(limit, int) else F.col("_limit")
             rows = batch if isinstance(limit, int) else batch.join(limit.select("device_id", F.col("limit").alias("_limit")), "device_id", "left")
             rows = admission(rows, limits, window_seconds).withColumn("window_no", time_chunk(F.col("ts"), window_seconds).cast("long"))
-            day = F.floor(F.col("window_no") * window_seconds / DAY)
-            days = [r[0] for r in rows.select(day).distinct().collect()]  # the days one batch reaches
+            part = day_of(F.timestamp_seconds(F.col("window_no") * window_seconds))
+            days = [r[0] for r in batch.select(time_chunk(F.col("ts"), window_seconds).cast("long").alias("window_no")).select(part).distinct().collect()]
             if not days:
                 return
-            before = counters.of_days(days, batch_id)
-            if before is not None:
-                used = before.select(*KEY, F.col("used").alias("_used"))
-                rows = rows.join(used, KEY, "left").withColumn("number", F.col("number") + F.coalesce("_used", F.lit(0))).drop("_used")
-            rows = rows.withColumn("admitted", F.coalesce(F.col("number") <= limits, F.lit(True))).drop("_limit")
+            table.maybe_compact(batch_id)
+            used = table.read(before=batch_id, parts=days).select(*KEY, F.col("used").alias("_used"))
+            rows = rows.join(used, KEY, "left").withColumn("number", F.col("number") + F.coalesce("_used", F.lit(0).cast("bigint")))
+            rows = rows.withColumn("admitted", F.coalesce(F.col("number") <= limits, F.lit(True))).drop("_limit", "_used")
             decided = f"{root}/decisions/batch={batch_id}"
             rows.write.mode("overwrite").parquet(decided)
-            # The counters follow from what was written, not from a second run of the batch.
-            now = spark.read.schema(rows.schema).parquet(decided).groupBy(*KEY).agg(F.max("number").cast("long").alias("used")).withColumn("day", day)
-            if before is not None:
-                now = before.unionByName(now).groupBy(*KEY, "day").agg(F.max("used").alias("used"))
-            counters.write_days(now.select(*KEY, "used", "day"), days, batch_id)
+            # The counts follow from what was written, not from a second run of the batch.
+            written = spark.read.schema(rows.schema).parquet(decided)
+            table.put(written.groupBy(*KEY, part.alias("part")).agg(F.count("*").alias("used")), batch_id)
         finally:
             batch.unpersist()
 

@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sensorloom.operators import partials
 from sensorloom.operators.classify import classify
 from sensorloom.operators.devices import hourly_usage
 from sensorloom.operators.enrich import enrich
-from sensorloom.operators.state import fold_rooms
 from sensorloom.operators.validate import accept, any_problem, check_parsed, event_problems, reject
 from sensorloom.schema import LOG_SCHEMA
 from sensorloom.sources.raw import parse_bodies
+from sensorloom.streaming.merge import MergeTable
 from sensorloom.streaming.sinks import LogTable, StateTable, append_rows, each_batch
 
 LATENESS = "1 hour"
@@ -51,35 +52,53 @@ def split_bodies(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ingest_log(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, split: Split = split_readings, **trigger) -> StreamingQuery:
     """Append every accepted reading to the log once, however late it comes.
 
-    Per batch, total = stored + rejected + duplicates (see ``LogTable.stats``). Nothing is held
-    in a state store and no watermark drops a row: a gateway that was away for a day delivers
-    its readings like any other. The source is read once a batch.
+    Per batch, total = stored + rejected + duplicates (see ``LogTable.stats``); these are observed on the
+    way, not counted by jobs of their own. Nothing is held in a state store and no watermark
+    drops a row: a gateway that was away for a day delivers its readings like any other. The
+    source is read once a batch.
     """
     table = LogTable(spark, path)
     table.create()
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            accepted = classify(enrich(split(batch)[0])).persist()
-            try:
-                table.note(batch_id, batch.count(), accepted.count(), table.append(accepted, batch_id))
-            finally:
-                accepted.unpersist()
-        finally:
-            batch.unpersist()
+        seen = Observation()
+        counted = batch.observe(seen, F.count(F.lit(1)).alias("n"))
+        table.append(classify(enrich(split(counted)[0])), batch_id, seen)
 
     return each_batch(source, work, checkpoint, "append", **trigger)
 
 
-def log_stream(spark: SparkSession, path: str, lateness: str = LATENESS) -> DataFrame:
-    """The accepted log as a stream, for the queries downstream of it."""
-    return spark.readStream.schema(LOG_SCHEMA).parquet(path).withWatermark("ts", lateness)
+class RoomTable:
+    """Room state from committed batches of the log: one partial fold per batch, and the rooms they add up to.
 
+    Partials are kept by the number of the log's batch (``<path>_parts``), so a batch that is replayed
+    into the log, or into this table, replaces its own. ``<path>`` is the table to read, one version per micro-batch.
+    """
 
-def room_states(log: DataFrame, table: StateTable, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the room table current. The fold lives in the state store, one row per room."""
-    return each_batch(fold_rooms(log), table.merge, checkpoint, "update", **trigger)
+    def __init__(self, spark: SparkSession, path: str, log: LogTable):
+        self.log = log
+        schema = partials.room_parts(spark.createDataFrame([], LOG_SCHEMA)).schema
+        self.parts = MergeTable(spark, f"{path}_parts", schema, partials.merge_room_parts)
+        self.rooms = StateTable(spark, path, ["room_id"])
+
+    def take(self, commits: DataFrame, batch_id: int) -> None:
+        new = commits.where("stored > 0").collect()  # one row per batch of the log
+        if not new:
+            return
+        self.parts.put(partials.room_parts(self.log.read_batches(new), keys=("room_id", "batch")))
+        changed = self.log.read_batches(new).select("room_id").distinct()
+        merged = self.parts.read().join(changed, "room_id", "left_semi")
+        self.rooms.merge(partials.rooms_of_parts(merged), batch_id)
+        self._compact()
+
+    def _compact(self) -> None:
+        """Fold what lies before the first committed batch that is still to come (commits may be listed out of order)."""
+        through = max(self.parts.versions().values(), default=-1)
+        committed = self.log.stats().where((F.col("batch") > through) & (F.col("stored") > 0)).select("batch")
+        missing = committed.join(self.parts.batches(), "batch", "left_anti").agg(F.min("batch")).first()[0]
+        end = committed.agg(F.max("batch")).first()[0] if missing is None else missing - 1
+        if end is not None and end - through >= self.parts.compact_every:
+            self.parts.compact(end)
 
 
 def closed_hours(messages: DataFrame, registry: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -109,5 +128,7 @@ def start(spark: SparkSession, readings: DataFrame, root: str, split: Split = sp
 
 
 def start_rooms(spark: SparkSession, root: str, **trigger) -> StreamingQuery:
-    table = StateTable(spark, f"{root}/rooms", ["room_id"])
-    return room_states(log_stream(spark, f"{root}/log"), table, f"{root}/checkpoints/rooms", **trigger)
+    """Keep the room table in ``root/rooms`` current with the log in ``root/log``."""
+    log = LogTable(spark, f"{root}/log")
+    table = RoomTable(spark, f"{root}/rooms", log)
+    return each_batch(log.commit_stream(), table.take, f"{root}/checkpoints/rooms", "append", **trigger)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -26,20 +26,30 @@ class StateTable:
     def __init__(self, spark: SparkSession, path: str, key: list[str]):
         self.spark, self.path, self.key = spark, path, key
 
-    def _folder(self):
+    def _folder(self, name: str | None = None):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path = jvm.org.apache.hadoop.fs.Path(name or self.path)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def versions(self) -> list[int]:
-        """Numbers of the finished versions."""
-        fs, path = self._folder()
+    def exists(self, name: str) -> bool:
+        fs, path = self._folder(name)
+        return fs.exists(path)
+
+    def delete(self, name: str) -> None:
+        fs, path = self._folder(name)
+        fs.delete(path, True)
+
+    def numbers(self, folder: str, prefix: str) -> list[int]:
+        """Numbers of the folders ``<prefix>N`` in a folder."""
+        fs, path = self._folder(folder)
         if not fs.exists(path):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(path)]
-        new_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        done = [n for n in names if n.startswith("v=") and fs.exists(new_path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[2:]) for n in done)
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
+
+    def versions(self) -> list[int]:
+        """Numbers of the finished versions."""
+        return [v for v in self.numbers(self.path, "v=") if self.exists(f"{self.path}/v={v}/_SUCCESS")]
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """The newest version, or the newest one before a batch; None if there is none."""
@@ -48,10 +58,9 @@ class StateTable:
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/v={batch_id}")
-        fs, _ = self._folder()
-        new_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for old in [v for v in self.versions() if v < batch_id - 1]:
-            fs.delete(new_path(f"{self.path}/v={old}"), True)
+        # The version before stays for readers that started with it.
+        for old in [v for v in self.versions() if v < batch_id][:-1]:
+            self.delete(f"{self.path}/v={old}")
 
     def merge(self, changed: DataFrame, batch_id: int) -> None:
         """Rows of ``changed`` replace those with the same key."""
@@ -68,63 +77,94 @@ class StateTable:
             changed.unpersist()
 
 
+COMMIT = "total bigint, accepted bigint, rejected bigint, stored bigint, duplicates bigint, first_date date, last_date date, batch bigint"
+
+
 class LogTable:
-    """The accepted log as micro-batches write it: ``event_date=D/batch=N``, every id once.
+    """The accepted log as micro-batches write it: ``event_date=D/batch=N``, every reading once.
+
+    A reading is a copy of another if all its fields are equal; a sender that uses an id again for
+    another reading sent two. That rule does not depend on how rows fall into batches.
+    Readings of any age are taken. A batch is compared with stored readings of its own dates and
+    time span only (a copy carries the time of what it repeats), so on-time batches read the
+    newest files and late ones just the days they reach back to.
 
-    Readings of any age are taken. A batch's ids are looked up among stored readings of the
-    batch's own dates and time span only (a retry carries the time of what it repeats), so on-time
-    batches read the newest files and late ones just the days they reach back to. A replayed
-    batch overwrites its own partitions. Counts per batch lie in ``<path>_stats``.
+    A replayed batch overwrites its own partitions, and then its commit: one row in ``<path>_commits/batch=N`` with
+    its counts and dates, written last. Readers downstream go by the numbers of committed batches,
+    never by file names, so what is replayed is the same batch to them.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.commits = f"{path}_commits"
 
     def create(self) -> None:
-        """The folder has to exist before the log is read as a stream."""
+        """The folders have to exist before they are read, the commits as a stream."""
         empty = self.spark.createDataFrame([], LOG_SCHEMA).withColumn("batch", F.lit(0).cast("bigint"))
         empty.write.mode("append").partitionBy("event_date", "batch").parquet(self.path)
+        self.spark.createDataFrame([], COMMIT).write.mode("append").partitionBy("batch").parquet(self.commits)
 
     def _stored(self) -> DataFrame:
         schema = T.StructType([*LOG_SCHEMA.fields, T.StructField("batch", T.LongType())])
         return self.spark.read.schema(schema).parquet(self.path)
 
-    def append(self, accepted: DataFrame, batch_id: int) -> int:
-        """Store the readings whose id is new; their number."""
-        rows = with_event_date(accepted.select(*LOG_FIELDS)).dropDuplicates(["event_id"]).persist()
+    def append(self, accepted: DataFrame, batch_id: int, seen: Observation | None = None) -> int:
+        """Store the readings that are new, then commit the batch; their number.
+
+        ``accepted`` is evaluated once. ``seen`` is an observation below it with the number ``n`` of all rows the
+        batch brought, without it only accepted ones are counted. (A task that is run again after a
+        lost executor may be observed twice; what is stored is counted from the files.)
+        """
+        taken = Observation()
+        rows = accepted.select(*LOG_FIELDS).observe(taken, F.count(F.lit(1)).alias("n"))
+        rows = with_event_date(rows.dropDuplicates()).persist()
         try:
             low, high, first, last, n = rows.agg(
                 F.min("ts"), F.max("ts"), F.min("event_date"), F.max("event_date"), F.count("*")
             ).first()
-            if not n:
-                return 0
-            stored = self._stored().where(F.col("event_date").between(first, last) & F.col("ts").between(low, high))
-            dates = rows.select("event_date").distinct()
-            known = stored.where(F.col("batch") != batch_id).join(F.broadcast(dates), "event_date", "left_semi").select("event_id")
-            new = rows.join(known, "event_id", "left_anti").withColumn("batch", F.lit(batch_id)).persist()
-            try:
-                count = new.count()  # before the write, which drops what is cached of this folder
+            if n:
+                stored = self._stored().where(F.col("event_date").between(first, last) & F.col("ts").between(low, high))
+                known = stored.where(F.col("batch") != batch_id).alias("k")
+                # Id and time are never null in the log; the other fields decide among what shares them.
+                same = (F.col("r.event_id") == F.col("k.event_id")) & (F.col("r.ts") == F.col("k.ts"))
+                for field in LOG_FIELDS:
+                    if field not in ("event_id", "ts"):
+                        same &= F.col(f"r.{field}").eqNullSafe(F.col(f"k.{field}"))
+                new = rows.alias("r").join(known, same & (F.col("r.event_date") == F.col("k.event_date")), "left_anti")
                 (
-                    new.hint("rebalance", F.col("event_date"))
+                    new.withColumn("batch", F.lit(batch_id).cast("bigint"))
+                    .hint("rebalance", F.col("event_date"))
                     .sortWithinPartitions("event_date", "room_id", "ts")
                     .write.mode("overwrite")
                     .option("partitionOverwriteMode", "dynamic")
                     .partitionBy("event_date", "batch")
                     .parquet(self.path)
                 )
-                return count
-            finally:
-                new.unpersist()
         finally:
             rows.unpersist()
-
-    def note(self, batch_id: int, total: int, accepted: int, stored: int) -> None:
-        counts = [(total, accepted, total - accepted, accepted - stored)]
-        frame = self.spark.createDataFrame(counts, "total bigint, accepted bigint, rejected bigint, duplicates bigint")
-        frame.coalesce(1).write.mode("overwrite").parquet(f"{self.path}_stats/batch={batch_id}")
+        here = F.col("event_date").between(first, last) & (F.col("batch") == batch_id)
+        count = self._stored().where(here).count() if n else 0
+        total, kept = (seen or taken).get["n"], taken.get["n"]
+        row = [(total, kept, total - kept, count, kept - count, first, last, batch_id)]
+        commit = self.spark.createDataFrame(row, COMMIT).coalesce(1)
+        commit.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.commits)
+        return count
 
     def stats(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}_stats")
+        """Counts of the committed batches: total = stored + rejected + duplicates in each."""
+        return self.spark.read.schema(COMMIT).parquet(self.commits)
+
+    def commit_stream(self) -> DataFrame:
+        """The commits as a stream, for queries downstream of the log."""
+        return self.spark.readStream.schema(COMMIT).parquet(self.commits)
+
+    def read_batches(self, commits: list[Row]) -> DataFrame:
+        """The log's rows of some committed batches, with their ``batch``; other dates and batches are not listed."""
+        dated = [c for c in commits if c.first_date is not None]
+        if not dated:
+            return self._stored().limit(0)
+        dates = F.col("event_date").between(min(c.first_date for c in dated), max(c.last_date for c in dated))
+        return self._stored().where(dates & F.col("batch").isin([c.batch for c in dated]))
 
     def compact(self, date: str) -> None:
         """Rewrite a closed day's many small files as few, sorted by room and time, as batch -1.
