@@ -155,6 +155,29 @@ def valid_at(patterns: DataFrame, at: Column) -> DataFrame:
     )
 
 
+def with_pattern_in_force(
+    readings: DataFrame, patterns: DataFrame, at: str = "ts", entity: str = "room_id", bucket_seconds: int = 7 * 24 * HOUR
+) -> DataFrame:
+    """Every reading with the patterns of its entity in force at its time (from inclusive, until exclusive, open if null).
+
+    An interval join: patterns are laid out over buckets of time, cut to the span of the readings
+    so that open ends and very long intervals end there, and a reading meets those of its own
+    bucket. Readings are never multiplied, and a busy entity's are spread over its buckets. A reading without a
+    pattern keeps nulls, one under several patterns comes with each. An interval that ends before it starts holds never.
+    """
+    bucket = time_chunk(F.col(at), bucket_seconds)
+    span = readings.agg(F.min(bucket).alias("low"), F.max(bucket).alias("high"))
+    low, high = span.select("low").scalar(), span.select("high").scalar()
+    first = F.greatest(time_chunk(F.col("valid_from"), bucket_seconds), low)
+    last = F.least(F.coalesce(time_chunk(F.col("valid_until"), bucket_seconds), high), high)
+    laid = patterns.withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn("_bucket", F.explode(F.sequence("_first", "_last")))
+    laid = laid.withColumnRenamed(entity, "_entity").drop("_first", "_last")
+    rows = readings.withColumn("_here", bucket)
+    in_force = (F.col("valid_from") <= F.col(at)) & (F.col("valid_until").isNull() | (F.col("valid_until") > F.col(at)))
+    joined = rows.join(laid, (F.col(entity) == F.col("_entity")) & (F.col("_here") == F.col("_bucket")) & in_force, "left")
+    return joined.drop("_here", "_bucket", "_entity")
+
+
 def versioned_patterns(found: DataFrame, entity: str = "room_id") -> DataFrame:
     """Give detected patterns their validity: each holds until the entity's next detection.
 

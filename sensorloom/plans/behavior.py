@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorloom.functions.times import like
-from sensorloom.operators import behavior
+from sensorloom.operators import behavior, partials
 from sensorloom.plans import query
 from sensorloom.plans.rooms import log_of
 from sensorloom.plans.sql import LOG
+from sensorloom.session import scratch_path
 from sensorloom.sources import tables
+from sensorloom.streaming.merge import MergeTable
 
 TWO_PLACES = "CAST(floor(round({} * 100, 6) + 0.5) / 100 AS DECIMAL(3,2))"
 
@@ -144,6 +146,42 @@ def patterns_valid_at(spark, sf):
     return behavior.valid_at(found, like(found, "2024-01-24 12:00:00", "valid_from"))
 
 
+@query(
+    "readings_with_patterns",
+    f"""WITH {WEEKLY} SELECT l.event_id, l.room_id, l.ts, pattern_type, confidence, valid_from, valid_until FROM log l
+    LEFT JOIN patterns p ON l.room_id = p.room_id AND valid_from <= ts AND (valid_until IS NULL OR valid_until > ts)""",
+)
+def readings_with_patterns(spark, sf):
+    """Every accepted reading with its room's pattern in force."""
+    log = log_of(spark, sf).select("event_id", "room_id", "ts")
+    found = behavior.with_pattern_in_force(log, weekly_patterns(spark, sf).drop("detected_at"))
+    return found.select("event_id", "room_id", "ts", "pattern_type", "confidence", "valid_from", "valid_until")
+
+
+@query(
+    "incremental_baselines",
+    f"""WITH {LOG} SELECT room_id, sensor_type, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, count(*) AS n
+    FROM log GROUP BY room_id, sensor_type""",
+)
+def incremental_baselines(spark, sf):
+    """Baselines kept from increments: each run folds in the readings that no run before it had."""
+    log = log_of(spark, sf).select("event_id", "room_id", "sensor_type", "value")
+    keys = ["room_id", "sensor_type"]
+    table = MergeTable(spark, scratch_path(spark, "baselines"), moment_schema(log, keys), partials.merge_moments(keys), compact_every=2)
+    arrival = F.crc32(F.col("event_id").cast("binary")) % 4
+    for run in range(4):
+        processed = log.where(arrival < run).select("event_id")
+        new = behavior.unprocessed(log.where(arrival <= run), processed, "event_id")
+        table.put(partials.moments(new, keys), run)
+        table.maybe_compact(run)
+    kept = partials.baselines_of_moments(table.read(), keys)
+    return kept.select(*keys, F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), "n")
+
+
+def moment_schema(readings, keys):
+    return partials.moments(readings.limit(0), keys).schema
+
+
 PAGE = 40
 
 
