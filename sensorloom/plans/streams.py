@@ -228,28 +228,40 @@ def stream_body_rejects(spark, sf):
     return rejects_by_reason(drained(rejected, "body-rejects"))
 
 
-# A stream closes what lies before its watermark: the newest event less one hour, in whole milliseconds.
-WATERMARK = "w AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS w FROM {})"
+CLOCK = "~clock"
+
+
+def with_clock(spark, stream: DataFrame, rows: DataFrame, key: str, hours: int) -> DataFrame:
+    """``stream`` and one more row of a source of its own, ``hours`` after the newest of ``rows``.
+
+    A stream closes what lies before its watermark. Over a finite table that clock row, as a live source's
+    next rows would, brings the watermark past everything the table holds. Its own results are left out by ``key``.
+    """
+    path = scratch_path(spark, "clock")
+    last = F.max("ts") + F.expr(f"INTERVAL {hours} HOURS")
+    name = F.lit(CLOCK if rows.schema[key].dataType.typeName() == "string" else -1).cast(rows.schema[key].dataType)
+    others = [F.first(c).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in ("ts", key)]
+    rows.agg(last.cast(rows.schema["ts"].dataType).alias("ts"), name.alias(key), *others).select(*rows.columns).write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(rows.schema).parquet(path))
+
+
+def clocked_log(spark, sf, hours: int) -> DataFrame:
+    normal = tables.readings(spark, sf).where((F.col("sensor_type") == "motion") & (F.col("value") == 0))
+    return classify(enrich(accept(with_clock(spark, reading_stream(spark, sf), normal, "room_id", hours))))
 
 
 @query(
     "stream_rolling_alerts",
-    f"""WITH {LOG}, {WATERMARK.format("log")},
+    f"""WITH {LOG},
     m AS (SELECT room_id, date_trunc('minute', ts)::TIMESTAMP + INTERVAL 1 MINUTE AS e, count(*) AS n FROM log
       WHERE status <> 'normal' GROUP BY ALL),
-    closed AS (SELECT m.* FROM m, w WHERE e <= w),
-    steps AS (SELECT room_id, e, n FROM closed UNION ALL SELECT room_id, e + INTERVAL 24 HOUR, -n FROM closed),
-    s AS (SELECT room_id, e, sum(n) AS n FROM steps GROUP BY ALL),
-    r AS (SELECT room_id, e, CAST(sum(n) OVER (PARTITION BY room_id ORDER BY e) AS BIGINT) AS anomalies_in_span FROM s)
-    SELECT room_id, e AS "at", anomalies_in_span FROM r, w WHERE e <= w""",
+    steps AS (SELECT room_id, e, n FROM m UNION ALL SELECT room_id, e + INTERVAL 24 HOUR, -n FROM m),
+    s AS (SELECT room_id, e, sum(n) AS n FROM steps GROUP BY ALL)
+    SELECT room_id, e AS "at", CAST(sum(n) OVER (PARTITION BY room_id ORDER BY e) AS BIGINT) AS anomalies_in_span FROM s""",
 )
 def stream_rolling_alerts(spark, sf):
     with timers.rocksdb(spark):
-        return drained(timers.rolling_counts(ingest.timed(enriched_stream(spark, sf))), "rolling")
-
-
-def enriched_stream(spark, sf):
-    return classify(enrich(accept(reading_stream(spark, sf))))
+        return drained(timers.rolling_counts(ingest.timed(clocked_log(spark, sf, 26))), "rolling").where(F.col("room_id") != CLOCK)
 
 
 SILENT = 6 * 3600
@@ -257,34 +269,40 @@ SILENT = 6 * 3600
 
 @query(
     "stream_silent_rooms",
-    f"""WITH {LOG}, {WATERMARK.format("log")},
+    f"""WITH {LOG},
     m AS (SELECT DISTINCT room_id, date_trunc('minute', ts)::TIMESTAMP + INTERVAL 1 MINUTE AS e FROM log),
-    closed AS (SELECT m.*, w FROM m, w WHERE e <= w),
-    g AS (SELECT *, lead(e) OVER (PARTITION BY room_id ORDER BY e) AS nxt FROM closed)
+    g AS (SELECT *, lead(e) OVER (PARTITION BY room_id ORDER BY e) AS nxt FROM m)
     SELECT room_id, 'offline' AS status, e + INTERVAL {SILENT} SECOND AS at FROM g
-      WHERE nxt - e > INTERVAL {SILENT} SECOND OR (nxt IS NULL AND e + INTERVAL {SILENT} SECOND <= w)
+      WHERE nxt - e > INTERVAL {SILENT} SECOND OR nxt IS NULL
     UNION ALL SELECT room_id, 'active', nxt FROM g WHERE nxt - e > INTERVAL {SILENT} SECOND""",
 )
 def stream_silent_rooms(spark, sf):
     with timers.rocksdb(spark):
-        return drained(timers.silent_rooms(ingest.timed(enriched_stream(spark, sf)), SILENT), "silent")
+        found = timers.silent_rooms(ingest.timed(clocked_log(spark, sf, SILENT // 3600 + 2)), SILENT)
+        return drained(found, "silent").where(F.col("room_id") != CLOCK)
 
 
 def message_stream(spark, sf):
     return tables.as_messages(event_stream(spark, sf)).select("message_id", "device_id", "ts")
 
 
+STREAM_TIERS = {"free": 1, "standard": 3}
+
+
 @query(
     "stream_rate_limit",
-    f"""WITH {REGISTRY}, {MESSAGES}, {WATERMARK.format("messages")}, c AS (SELECT device_id,
-      date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS request_count FROM messages GROUP BY ALL)
-    SELECT c.*, CAST(CASE tier WHEN 'free' THEN 1000 ELSE 10000 END AS BIGINT) AS "limit",
-      CAST(CASE tier WHEN 'free' THEN 1000 ELSE 10000 END - request_count AS BIGINT) AS remaining, false AS exceeded
-    FROM c JOIN registry r ON c.device_id = r.device_id, w WHERE window_start + INTERVAL 1 HOUR <= w""",
+    f"""WITH {REGISTRY}, {MESSAGES}, c AS (SELECT device_id,
+      date_trunc('hour', ts)::TIMESTAMP AS window_start, count(*) AS request_count FROM messages GROUP BY ALL),
+    l AS (SELECT c.*, CAST(CASE tier WHEN 'free' THEN {STREAM_TIERS["free"]} WHEN 'standard' THEN {STREAM_TIERS["standard"]} END AS BIGINT) AS "limit"
+      FROM c LEFT JOIN registry r ON c.device_id = r.device_id)
+    SELECT *, CAST(greatest("limit" - request_count, 0) AS BIGINT) AS remaining, coalesce(request_count > "limit", false) AS exceeded FROM l""",
 )
 def stream_rate_limit(spark, sf):
+    """Small limits, so that some hours exceed them."""
     registry = tables.device_registry(spark, sf)
-    return drained(ingest.closed_hours(message_stream(spark, sf), registry), "limits")
+    messages = tables.as_messages(tables.table(spark, sf, "events")).select("message_id", "device_id", "ts")
+    sent = with_clock(spark, message_stream(spark, sf), messages, "device_id", 3)
+    return drained(ingest.closed_hours(sent, registry, tiers=STREAM_TIERS), "limits").where("device_id <> -1")
 
 
 @query(

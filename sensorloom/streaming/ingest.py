@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,7 +14,7 @@ from sensorloom.operators.classify import classify
 from sensorloom.operators.devices import hourly_usage
 from sensorloom.operators.enrich import enrich
 from sensorloom.operators.validate import accept, any_problem, check_parsed, event_problems, reject
-from sensorloom.schema import LOG_SCHEMA
+from sensorloom.schema import HOURLY_TIERS, LOG_SCHEMA
 from sensorloom.sources.raw import parse_bodies
 from sensorloom.streaming.merge import MergeTable
 from sensorloom.streaming.sinks import LogTable, StateTable, append_rows, each_batch
@@ -101,9 +101,11 @@ class RoomTable:
             self.parts.compact(end)
 
 
-def closed_hours(messages: DataFrame, registry: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def closed_hours(
+    messages: DataFrame, registry: DataFrame, lateness: str = LATENESS, tiers: Mapping[str, int] = HOURLY_TIERS
+) -> DataFrame:
     """Rate-limit counters of hours that can no longer change."""
-    return hourly_usage(timed(messages, lateness), registry)
+    return hourly_usage(timed(messages, lateness), registry, tiers)
 
 
 @dataclass
