@@ -408,6 +408,8 @@ def _images(side: str) -> str:
     return f"""
       {last.format("CASE WHEN sensor_type = 'temperature' THEN value END")} AS {side}_temperature,
       {last.format("CASE WHEN sensor_type = 'occupancy' THEN CAST(trunc(value) AS INTEGER) END")} AS {side}_occupancy,
+      {last.format("CASE WHEN sensor_type = 'motion' THEN value <> 0 END")} AS {side}_motion,
+      {last.format("CASE WHEN sensor_type = 'humidity' THEN value END")} AS {side}_humidity,
       {last.format("CASE WHEN status <> 'normal' THEN status END")} AS {side}_bad,
       count(*) FILTER (WHERE status <> 'normal') OVER w_{side} AS {side}_count,
       max(ts) OVER w_{side} AS {side}_update"""
@@ -420,8 +422,8 @@ def _images(side: str) -> str:
              w_old AS (PARTITION BY room_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
     SELECT room_id, ts, event_id, CASE WHEN old_update IS NULL THEN 'INSERT' ELSE 'MODIFY' END AS change,
       CASE WHEN old_update IS NOT NULL THEN coalesce(old_bad, 'active') END AS old_status, old_update, old_temperature,
-      old_occupancy, CASE WHEN old_update IS NOT NULL THEN old_count END AS old_count,
-      coalesce(new_bad, 'active') AS new_status, new_update, new_temperature, new_occupancy, new_count FROM i""",
+      old_occupancy, old_motion, old_humidity, CASE WHEN old_update IS NOT NULL THEN old_count END AS old_count,
+      coalesce(new_bad, 'active') AS new_status, new_update, new_temperature, new_occupancy, new_motion, new_humidity, new_count FROM i""",
 )
 def room_change_feed(spark, sf):
     feed = state.room_changes(log_of(spark, sf))
@@ -432,7 +434,8 @@ def room_change_feed(spark, sf):
             for side in ("old", "new")
             for path, name in (
                 ("status", "status"), ("last_update", "update"), ("current_state.temperature", "temperature"),
-                ("current_state.occupancy", "occupancy"), ("alert_count_24h", "count"),
+                ("current_state.occupancy", "occupancy"), ("current_state.motion", "motion"),
+                ("current_state.humidity", "humidity"), ("alert_count_24h", "count"),
             )
         ],
     )
