@@ -39,6 +39,7 @@ MAGIC = b"FRVB"
 HEAD = struct.Struct("<4s4Q")
 SLOTS = 21
 CACHED_IDS = 1 << 23
+CACHED_BYTES = 1 << 25
 PRINTABLE, LETTER, PUNCTUATION = (np.isin(np.arange(256), [*map(ord, x)]) for x in (string.printable[:94], string.ascii_letters, string.punctuation))
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
 
@@ -51,8 +52,10 @@ class Encoder:
 
     A byte-level BPE splits before white space that follows other characters and between a
     letter and punctuation, so a text may be cut there and each distinct piece encoded once. Cuts
-    are made only where ASCII (before white space, also letters of two bytes) leaves no doubt. The
-    cache is a table of slots by hash; a new piece takes the slot of an older one.
+    are made only where ASCII (before white space, also letters of two bytes) leaves no doubt, and none in a
+    text that holds the text of an added token, which the tokenizer looks for across such places. The
+    cache is a table of slots by hash, whose bytes are compared on every hit; a new piece takes the
+    slot of an older one.
     """
 
     def __init__(self, path: str):
@@ -60,26 +63,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = sorted(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content)
         self.keys = np.zeros(1 << SLOTS, np.uint64)
+        self.text, self.read = np.zeros(CACHED_BYTES, np.uint8), 0
+        self.text_at, self.text_size = np.zeros(1 << SLOTS, np.int32), np.full(1 << SLOTS, -1, np.int32)
         self.first, self.size = np.zeros(1 << SLOTS, np.int32), np.zeros(1 << SLOTS, np.int32)
         self.flat = np.zeros(CACHED_IDS, np.uint32)
         self.used = 0
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, and where each document's begin."""
-        start = cuts(data, offsets)
+        raw = data.tobytes()
+        start = cuts(data, offsets, self._whole(raw, offsets))
         end = np.append(start[1:], len(data))
         rolling = rolling_hash(2)
         keys = rolling.between(rolling.prefixes(data), start, end) + (end - start).astype(np.uint64)
         slot = (keys >> np.uint64(64 - SLOTS)).astype(np.int64)
         first, size = self.first[slot].astype(np.int64), self.size[slot].astype(np.int64)
-        missing = np.flatnonzero(self.keys[slot] != keys)
+        hit = (self.keys[slot] == keys) & (self.text_size[slot] == end - start)
+        rows = np.flatnonzero(hit)
+        hit[rows] = same_bytes(data, start[rows], self.text, self.text_at[slot[rows]].astype(np.int64), (end - start)[rows])
+        missing = np.flatnonzero(~hit)
         flat = self.flat
         if len(missing):
             _, at, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
-            new = missing[at]
-            raw = data.tobytes()
+            # Pieces of one hash but other bytes than the first of them stand alone.
+            alike = missing[at][inverse]
+            equal = (end - start)[missing] == (end - start)[alike]
+            rows = np.flatnonzero(equal)
+            equal[rows] = same_bytes(data, start[missing[rows]], data, start[alike[rows]], (end - start)[missing[rows]])
+            cached = len(at)
+            odd = np.flatnonzero(~equal)
+            inverse[odd] = cached + np.arange(len(odd))
+            new = np.concatenate([missing[at], missing[odd]])
             pieces = [raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist())]
             sizes, ids = [], []
             for i in range(0, len(pieces), 4096):
@@ -87,29 +103,62 @@ class Encoder:
                 sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
                 ids.append(np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes[-1].sum())))
             sizes, ids = np.concatenate(sizes), np.concatenate(ids)
-            if self.used + len(ids) > len(self.flat):
+            begin = self.used + np.cumsum(sizes) - sizes
+            lengths = (end - start)[new[:cached]]
+            if self.used + len(ids) > len(self.flat) or self.read + lengths.sum() > len(self.text):
                 flat = np.concatenate([self.flat[: self.used], ids])  # for this call only
-                begin = self.used + np.cumsum(sizes) - sizes
-                self.keys[:] = 0
-                self.used = 0
+                self.keys[:], self.text_size[:] = 0, -1
+                self.used = self.read = 0
             else:
                 self.flat[self.used : self.used + len(ids)] = ids
-                begin = self.used + np.cumsum(sizes) - sizes
                 self.used += len(ids)
-                self.keys[slot[new]], self.first[slot[new]], self.size[slot[new]] = keys[new], begin, sizes
+                kept = slot[new[:cached]]
+                self.keys[kept], self.first[kept], self.size[kept] = keys[new[:cached]], begin[:cached], sizes[:cached]
+                self.text_at[kept], self.text_size[kept] = self.read + np.cumsum(lengths) - lengths, lengths
+                spread = np.repeat(start[new[:cached]] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                self.text[self.read : self.read + len(spread)] = data[spread]
+                self.read += len(spread)
             first[missing], size[missing] = begin[inverse], sizes[inverse]
         before = np.concatenate(([0], np.cumsum(size)))
         ids = flat[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
         return ids, before[np.searchsorted(start, offsets)]
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the pieces: each document's first byte, white space after a sure non-space, punctuation after a letter."""
+    def _whole(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Documents with the text of an added token in them."""
+        found = []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                found.append(at)
+                at = raw.find(token, at + 1)
+        return np.unique(np.searchsorted(offsets, found, "right") - 1)
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether ``a[a_start : a_start + length]`` and ``b[b_start : b_start + length]`` agree; no length is 0."""
+    out = np.zeros(len(length), bool)
+    for i in range(0, len(length), 1 << 16):
+        s = slice(i, i + (1 << 16))
+        first = np.cumsum(length[s]) - length[s]
+        step = np.arange(length[s].sum())
+        equal = a[np.repeat(a_start[s] - first, length[s]) + step] == b[np.repeat(b_start[s] - first, length[s]) + step]
+        out[s] = np.logical_and.reduceat(equal, first)
+    return out
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the pieces: each document's first byte, white space after a sure non-space, punctuation after a letter.
+
+    Documents of ``whole`` are not cut.
+    """
     mark = np.zeros(len(data), bool)
     if len(data) > 1:
         two = np.zeros(len(data), bool)
         two[1:] = (data[:-1] >= 0xC3) & (data[:-1] < 0xE0) & (data[1:] >= 0x80)  # two-byte characters from U+00C0 on hold no white space
         mark[1:] = (SPACE[data[1:]] & (PRINTABLE[data] | two)[:-1]) | (PUNCTUATION[data[1:]] & LETTER[data[:-1]])
+    for doc in [] if whole is None else whole:
+        mark[offsets[doc] : offsets[doc + 1]] = False
     mark[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     return np.flatnonzero(mark)
 

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_data import documents, texts
+from tokenizers import Tokenizer
 
 from sensorloom.llm import token_files as tf
 from sensorloom.llm.queries import tokenizer_path
@@ -32,11 +33,38 @@ def test_damage_is_noticed():
 
 
 def direct(strings):
-    coder = tf.encoder(tokenizer_path())
-    return [e.ids for e in coder.tokenizer.encode_batch(strings, add_special_tokens=False)]
+    """By a tokenizer of its own, as the library loads it."""
+    return [e.ids for e in Tokenizer.from_file(tokenizer_path()).encode_batch(strings, add_special_tokens=False)]
 
 
-ODD = ["", " ", "  a  b\n\n c\t", "it's we'll I'M don't 'tis", "café naïve — “quoted” word", "a b c 　d", "x,y. (z)! 3.14 a1b2", "<|endoftext|> a", "日本語 テスト", "\x1c\x85 a\x0bb", "é,ü. ñ'o"]
+def thue_morse(n=1024):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+ODD = ["", " ", "  a  b\n\n c\t", "it's we'll I'M don't 'tis", "café naïve — “quoted” word", "a b c 　d", "x,y. (z)! 3.14 a1b2", "<|endoftext|> a", "x<|endoftext|>y. <|endoftext|", *thue_morse(), "日本語 テスト", "\x1c\x85 a\x0bb", "é,ü. ñ'o"]
+
+
+def test_added_tokens_are_themselves():
+    raw = np.frombuffer(b"<|endoftext|>", np.uint8)
+    assert tf.Encoder(tokenizer_path()).encode(raw, np.array([0, len(raw)]))[0].tolist() == direct(["<|endoftext|>"])[0] == [50256]
+
+
+def test_equal_hashes_do_not_mix_pieces(monkeypatch):
+    class One:
+        def prefixes(self, data):
+            return data
+
+        def between(self, prefixes, start, end):
+            return np.zeros(len(start), np.uint64)
+
+    monkeypatch.setattr(tf, "rolling_hash", lambda seed: One())
+    coder = tf.Encoder(tokenizer_path())
+    strings = ["ab cd ef ab", "ef gh cd", "xyz ab ef"]
+    for _ in range(2):
+        raw = [s.encode() for s in strings]
+        ids, at = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == direct(strings)
 
 
 @pytest.mark.parametrize("strings", [ODD, ODD[::-1] * 3])
