@@ -100,11 +100,62 @@ class RollingHash:
         return mix((prefixes[end] - prefixes[start]) * self.inverses[start])
 
 
+PRIMES = (2**31 - 1, 2**31 - 19)
+
+
+class PrimeHash:
+    """Polynomial hash of substrings modulo two primes with seeded bases, as one 64-bit value.
+
+    Modulo 2**64 there are texts (Thue-Morse words) that collide in every base; modulo primes there are none.
+    """
+
+    def __init__(self, seed: int):
+        draw = np.random.default_rng(seed)
+        self.table = draw.integers(1, 2**31 - 20, 256, dtype=np.int64)
+        self.bases = [int(b) for b in draw.integers(1 << 20, 2**31 - 20, len(PRIMES))]
+        self.tables = [(np.ones(1, np.int64), np.ones(1, np.int64)) for _ in PRIMES]
+
+    def _grow(self, n: int) -> None:
+        if len(self.tables[0][0]) <= n:
+            size = max(n + 1, SLICE_BYTES + 1)
+            self.tables = [(_powers(b, p, size), _powers(pow(b, -1, p), p, size)) for b, p in zip(self.bases, PRIMES)]
+
+    def prefixes(self, data: np.ndarray) -> list[np.ndarray]:
+        self._grow(len(data))
+        values, out = self.table[data], []
+        for (powers, _), p in zip(self.tables, PRIMES):
+            sums = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(values * powers[: len(data)] % p, out=sums[1:])
+            out.append(sums)
+        return out
+
+    def between(self, prefixes: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        one, two = ((x[end] - x[start]) % p * inverses[start] % p for x, (_, inverses), p in zip(prefixes, self.tables, PRIMES))
+        return mix((one.astype(np.uint64) << np.uint64(32)) | two.astype(np.uint64))
+
+
+def _powers(base: int, prime: int, size: int) -> np.ndarray:
+    """``base ** i`` modulo a prime below 2**31, by doubling."""
+    out = np.ones(size, np.int64)
+    done = 1
+    while done < size:
+        more = min(done, size - done)
+        out[done : done + more] = out[:more] * pow(base, done, prime) % prime
+        done += more
+    return out
+
+
 @lru_cache(maxsize=8)
 def rolling_hash(seed: int) -> RollingHash:
+    """The faster hash, for places where equal values are compared byte by byte or set the work only."""
     return RollingHash(seed)
 
 
+@lru_cache(maxsize=4)
+def prime_hash(seed: int) -> PrimeHash:
+    return PrimeHash(seed)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every run without white space, and the first word of each document.
 
@@ -129,8 +180,8 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
     if lower:
         data = LOWER[data]
     start, end, first = words(data, offsets)
-    rolling = rolling_hash(1)
-    return rolling.between(rolling.prefixes(data), start, end), first
+    hashing = prime_hash(1)
+    return hashing.between(hashing.prefixes(data), start, end), first
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

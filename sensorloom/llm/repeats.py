@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorloom.llm.arrow_text import flat_bytes, rolling_hash, slices, trimmed
+from sensorloom.llm.arrow_text import flat_bytes, prime_hash, rolling_hash, slices, trimmed
 from sensorloom.session import durable, scratch_path
 
 LENGTH = 100
@@ -64,7 +64,8 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int, width: int) -> tup
         return empty, empty, empty, empty, empty
     cut = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1))))
     first, last, at = start[cut], start[np.append(cut[1:], len(start)) - 1], at[cut]
-    return first, last, at, hashes[at].view(np.int64), rolling.between(prefixes, first, last + length).view(np.int64)
+    hashing = prime_hash(3)  # equal phrases are not compared again
+    return first, last, at, hashes[at].view(np.int64), hashing.between(hashing.prefixes(data), first, last + length).view(np.int64)
 
 
 def phrases(texts: DataFrame, length: int, width: int) -> DataFrame:
@@ -174,7 +175,7 @@ def suffixes(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                     owner = np.repeat(rows, many)
                     step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
                     at = start[owner] + step
-                    keys = [r.between(r.prefixes(data), at, at + length).view(np.int64) for r in (rolling_hash(4), rolling_hash(5))]
+                    keys = [r.between(r.prefixes(data), at, at + length).view(np.int64) for r in (prime_hash(4), prime_hash(5))]
                     yield _suffix_rows([*keys, ids[doc[owner]], ((place[owner] >> 16) + step) << 16], pa.nulls(len(owner), pa.binary()))
 
     return texts.join(by_doc, "doc_id").select("doc_id", "text", "found").mapInArrow(trimmed(run), SUFFIXES)
