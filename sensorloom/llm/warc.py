@@ -155,6 +155,9 @@ def salvage(data: bytes) -> Iterator[dict]:
         yield {"gap_start": gap, "gap_end": end, "reason": why}
 
 
+PIECE = 1 << 14
+
+
 def _next_start(data: bytes, at: int) -> int:
     member = data.find(GZIP_MAGIC, at)
     line = VERSION.search(data, at, member if member >= 0 else len(data))
@@ -163,14 +166,18 @@ def _next_start(data: bytes, at: int) -> int:
 
 def _member(data: bytes, at: int) -> tuple[dict, int]:
     if data.startswith(GZIP_MAGIC, at):
-        unpack = zlib.decompressobj(31)
-        raw = unpack.decompress(memoryview(data)[at:])
+        unpack, view, parts, end = zlib.decompressobj(31), memoryview(data), [], at
+        # In pieces: what is left of the input is handed back as a copy, which must not be the rest of the file.
+        while not unpack.eof and end < len(data):
+            parts.append(unpack.decompress(view[end : end + PIECE]))
+            end = min(end + PIECE, len(data))
         if not unpack.eof:
             raise ValueError("member ends early")
+        raw = b"".join(parts)
         record, used = parse_record(raw, 0)
         if used != len(raw):
             raise ValueError("bytes after the record in its member")
-        return record, len(data) - len(unpack.unused_data)
+        return record, end - len(unpack.unused_data)
     if VERSION.match(data, at):
         return parse_record(data, at)
     raise ValueError("neither a member nor a version line")
