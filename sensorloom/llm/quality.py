@@ -152,9 +152,18 @@ def fit(labelled: DataFrame, dimensions: int = DIMENSIONS, width: float = WIDTH,
             if batch.num_rows:
                 x = expand(_matrix(batch.column(0), d), mean, scale, frequencies, phases)
                 total += x.T @ np.column_stack([x, batch.column(1).to_numpy(zero_copy_only=False)])
+        if total[-1, -2]:  # rows seen
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, size + 1))
+        for batch in batches:
+            for part in batch.column(0):
+                total += np.frombuffer(part.as_buffer()).reshape(size, size + 1)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    parts = rows.where("fold = 0").select("features", "label").coalesce(PARTS).mapInArrow(trimmed(sums), "part binary").collect()
+    each = rows.where("fold = 0").select("features", "label").mapInArrow(trimmed(sums), "part binary")
+    parts = each.repartition(PARTS).mapInArrow(trimmed(add), "part binary").collect()  # one matrix of fixed size per part
     total = sum((np.frombuffer(bytes(p.part)).reshape(size, size + 1) for p in parts), np.zeros((size, size + 1)))
     penalty = np.eye(size) * ridge * max(n, 1)
     penalty[-1, -1] = 1e-9
