@@ -26,7 +26,7 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-RAW = frozenset("script style title textarea noscript template iframe svg object canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -47,6 +47,13 @@ BOILER_NAMES = frozenset(
     "comment comments commentlist disqus respond reply replies copyright legal disclaimer skip search searchform form contentinfo complementary "
     "banner dialog tagcloud toc shoutbox paywall".split()
 )
+# Words that may stand beside a name of boilerplate in one class or id ("site-footer", "nav_list") without changing what it names.
+LAYOUT_NAMES = frozenset(
+    "site page main left right top bottom primary secondary global wrapper wrap container area block box section list item items inner outer header "
+    "head bar link links content post entry article story text body js id col column row mobile desktop sticky fixed unit slot module panel field "
+    "button btn group title meta info big small large mini my the facebook twitter google".split()
+)
+ABSENCE_NAMES = frozenset("no not without hide has with category categories tag tags topic format type".split())
 SOFT_NAMES = frozenset("header head top".split())
 MAIN_NAMES = frozenset("article main".split())
 CONTENT_NAMES = frozenset("article main content post entry story text body".split())
@@ -57,6 +64,23 @@ W_HEADING = 0.8
 TIE_NEXT, TIE_BESIDE, TIE_FAR, TIE_SIBLING = 1.0, 0.5, 0.3, 0.8
 
 
+def boilerplate_name(value: str) -> tuple[bool, bool]:
+    """Whether a class, id or role names boilerplate outright, and whether it may.
+
+    Each name is judged whole: outright only if all its words are of boilerplate or layout
+    ("site-footer"), not if it says what is absent or filed where ("no-sidebar", "tag-legal").
+    """
+    outright = perhaps = False
+    for name in value.split():
+        words = {w.lower() for w in NAME.findall(name)}
+        if words & BOILER_NAMES and not words & ABSENCE_NAMES:
+            if words <= BOILER_NAMES | LAYOUT_NAMES:
+                outright = True
+            else:
+                perhaps = True
+    return outright, perhaps
+
+
 class Place:
     """An open element: its name and what its blocks inherit."""
 
@@ -81,8 +105,11 @@ class Place:
                     boiler = boiler or value.lower() in ("", "true", "hidden")
                 elif kind != "id" or name not in ANCHORS:
                     words = {w.lower() for w in NAME.findall(value)}
-                    if words & BOILER_NAMES:
-                        boiler = True
+                    outright, perhaps = boilerplate_name(value) if words & BOILER_NAMES else (False, False)
+                    boiler = boiler or outright
+                    soft = soft or perhaps and not main
+                    if outright or perhaps:
+                        pass
                     elif kind == "role" and words & MAIN_NAMES:
                         soft, main = False, True
                     elif words & CONTENT_NAMES:
@@ -151,8 +178,8 @@ def parse_blocks(html: str) -> list[Block]:
             continue
         if name == "br":
             pieces.append(" ")
-        if name in VOID:
-            continue
+        if name in VOID or match[3].endswith("/") and not block and name not in RAW:
+            continue  # "<svg/>", "<i/>": nothing is inside
         if name in RAW:
             stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
             at = stop.end() if stop else n

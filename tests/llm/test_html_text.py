@@ -23,6 +23,10 @@ PAGES = {
     "script swallows": (f"<article><p>{LONG}</p><script>var a='<p>no</p>'", LONG),
     "comment": (f"<article><!-- <p>no</p> --><p>{LONG}</p><!-- open", LONG),
     "in header": (f"<article><header><h1>Title of it</h1></header><p>{LONG}</p></article><header><p>Site slogan, which is a sentence.</p></header>", f"Title of it\n{LONG}"),
+    "names that say otherwise": (f'<div class="site no-sidebar"><article class="post category-social-science tag-legal"><h1>Head</h1><p>{LONG}</p></article></div>', f"Head\n{LONG}"),
+    "names of layout": (f'<article><p>{LONG}</p></article><div class="site-footer"><p>{LONG}</p></div><div id="main_nav-list"><p>{LONG}</p></div>', LONG),
+    "icons": (f'<article><p><svg class="i"/>{LONG}</p><p><svg><path d="M0 0"/></svg>{LONG}</p><object data="x"/><p>{LONG}</p></article>', f"{LONG}\n{LONG}\n{LONG}"),
+    "media": (f'<article><p>{LONG}</p><video controls><source src="a"></video><audio src="b"></audio><canvas></canvas><p>{LONG}</p></article>', f"{LONG}\n{LONG}"),
     "empty": ("", ""),
     "markup only": ("<div><p></p></div>", ""),
     "links only": ('<ul><li><a href="/">One link here</a></li><li><a href="/">Two links here</a></li></ul>', ""),
