@@ -167,17 +167,30 @@ def _picked(rows: DataFrame, passes: DataFrame) -> DataFrame:
     place = F.struct("_order", "doc_id", "_size")
     order = Window.partitionBy("_pattern").orderBy("_order", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.sum("_size").over(order) - F.col("_size") / 2
-    last = durable(
+    places = (
         narrow.join(F.broadcast(cut), "_pattern")
         .where("_bucket = _cut")
         .withColumn("_inside", middle <= F.col("_left"))
-        .groupBy("_pattern", "_cut")
-        .agg(F.max(F.when(F.col("_inside"), place)).alias("_last"))
+        .groupBy("_pattern", "_cut", "_order", "doc_id", "_size")
+        .agg(F.count_if("_inside").alias("_picked"), F.count("*").alias("_equal"))
     )
+    # The last place picked, and how many of the rows equal there are: repeated rows count on their own.
+    end = F.struct("_order", "doc_id", "_size", "_picked", "_equal")
+    last = durable(places.groupBy("_pattern", "_cut").agg(F.max(F.when(F.col("_picked") > 0, end)).alias("_last")))
     joined = rows.join(F.broadcast(passes), "_pattern", "left").join(F.broadcast(last), "_pattern", "left")
-    extra = (F.col("_bucket") < F.col("_cut")) | ((F.col("_bucket") == F.col("_cut")) & (place <= F.col("_last")))
+    reached = F.struct("_last._order", "_last.doc_id", "_last._size")
+    if last.where("_last._picked < _last._equal").isEmpty():
+        inside = place <= reached
+    else:
+        at_end = F.coalesce((F.col("_bucket") == F.col("_cut")) & (place == reached), F.lit(False))
+        alike = Window.partitionBy("_pattern").orderBy("_order")
+        numbered = joined.where(at_end).withColumn("_number", F.row_number().over(alike))
+        joined = joined.where(~at_end).withColumn("_number", F.lit(0)).unionByName(numbered)
+        inside = (place < reached) | ((place == reached) & (F.col("_number") <= F.col("_last._picked")))
+    extra = (F.col("_bucket") < F.col("_cut")) | ((F.col("_bucket") == F.col("_cut")) & inside)
     copies = F.coalesce(F.col("_whole"), F.lit(0)) + F.coalesce(extra, F.lit(False)).cast("long")
-    return joined.withColumns({"copies": copies, "taken": copies * F.col("_size")}).drop("_whole", "_rest", "_cut", "_last")
+    dropped = [c for c in ("_whole", "_rest", "_cut", "_last", "_number") if c in joined.columns]
+    return joined.withColumns({"copies": copies, "taken": copies * F.col("_size")}).drop(*dropped)
 
 
 def mixed_documents(docs: DataFrame, weights=None, seed: int = 0) -> DataFrame:

@@ -70,3 +70,11 @@ def test_mixed_documents_keep_their_columns(spark):
     out = mixing.mixed_documents(docs, mixing.cycle_weights)
     assert out.columns == docs.columns
     assert shown(out) <= shown(docs)
+
+
+def test_repeated_rows_are_taken_on_their_own(spark):
+    rows = [(1, 10, ["a"], "x")] * 300 + [(i, 10, ["b"], "x") for i in range(2, 102)]
+    docs = spark.createDataFrame(rows, "doc_id long, size long, sources array<string>, copies_of string").repartition(4)
+    picked, targets, _ = mixing.mix(docs, mixing.cycle_weights, share=0.75)
+    taken = {r.doc_id == 1: r.n for r in picked.groupBy(F.col("doc_id") == 1).agg(F.sum("taken").alias("n"), F.first("doc_id").alias("doc_id")).collect()}
+    assert picked.count() == 400 and abs(taken[True] - targets["a"]) <= 10 and abs(taken[False] - targets["b"]) <= 10
