@@ -63,25 +63,31 @@ def item_shingles(items: DataFrame, count: int, similarity: float) -> DataFrame:
     return weighted.select("item_id", "n", "shingle", "weight", "pos", chosen.alias("chosen"))
 
 
+#: A window: the document, its text (a doc_id may come with several), first word and size.
+PLACE = ["doc_id", "text_id", "start", "n"]
+
+
 def windows(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``doc_id, start, n, hashes``: item-sized windows (clipped at the text's ends) aligned on a seed.
+    """``PLACE`` and ``hashes``: item-sized windows (clipped at the text's ends) aligned on a seed.
 
-    With few seeds (their number is checked) positions meet them in a broadcast join of the
+    ``text_id`` is a hash of the text's words, so equal rows are one text and different texts of one doc_id stay apart. With few seeds (their number is checked) positions meet them in a broadcast join of the
     scan's own stage and carry their text along; otherwise positions are shuffled alone and texts joined
     to the windows found.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("words"))
     hashed = texts.where(F.size("words") >= SHINGLE).select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("all"))
+    hashed = hashed.select("doc_id", F.xxhash64("all").alias("text_id"), "all")
     start = F.col("pos") - F.col("item_pos")
     first, last = F.greatest(start, F.lit(0)), F.least(start + F.col("n"), F.size("all"))
     cut = F.slice("all", (first + 1).cast("int"), (last - first).cast("int"))
     if seeds.count() <= BROADCAST_KEYS:
-        places = hashed.select("doc_id", "all", F.posexplode(shingles(F.col("all"))).alias("pos", "shingle"))
-        found = places.join(F.broadcast(seeds), "shingle").select("doc_id", start.alias("start"), "n", cut.alias("hashes"))
-        return found.dropDuplicates(["doc_id", "start", "n"])
-    places = hashed.select("doc_id", F.posexplode(shingles(F.col("all"))).alias("pos", "shingle"))
-    found = places.join(seeds, "shingle").select("doc_id", "pos", "item_pos", "n").withColumn("start", start).dropDuplicates(["doc_id", "start", "n"])
-    return found.join(hashed.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "start", "n", cut.alias("hashes"))
+        places = hashed.select("doc_id", "text_id", "all", F.posexplode(shingles(F.col("all"))).alias("pos", "shingle"))
+        found = places.join(F.broadcast(seeds), "shingle").select("doc_id", "text_id", start.alias("start"), "n", cut.alias("hashes"))
+        return found.dropDuplicates(PLACE)
+    places = hashed.select("doc_id", "text_id", F.posexplode(shingles(F.col("all"))).alias("pos", "shingle"))
+    found = places.join(seeds, "shingle").select("doc_id", "text_id", "pos", "item_pos", "n").withColumn("start", start).dropDuplicates(PLACE)
+    texts = hashed.dropDuplicates(["doc_id", "text_id"])
+    return found.join(texts, ["doc_id", "text_id"]).select(*PLACE, cut.alias("hashes"))
 
 
 def simhash(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -104,16 +110,17 @@ def blocks() -> Column:
 
 
 def hamming_candidates(prints: DataFrame, item_prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, start, n, item_id``: every window and item of equal size at most ``radius`` bits apart."""
+    """Every window (all columns of ``prints`` but the fingerprint) and ``item_id`` of equal size at most ``radius`` bits apart."""
+    place = [c for c in prints.columns if c != "fingerprint"]
     flips = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda x: F.bit_count(x) <= radius // BLOCKS)
     masks = durable(item_prints.sparkSession.range(1).select(flips.alias("masks"))).first()["masks"]  # 697 numbers at radius 15
     near = item_prints.select("item_id", "n", F.col("fingerprint").alias("item_print"), blocks().alias("b")).select(
         "item_id", "n", "item_print", F.col("b.block").alias("block"), F.col("b.value").alias("own"), F.explode(F.lit(masks)).alias("flip")
     )
     table = near.select("item_id", "n", "item_print", "block", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
-    asked = prints.select("doc_id", "start", "n", "fingerprint", blocks().alias("b")).select("doc_id", "start", "n", "fingerprint", "b.block", "b.value")
+    asked = prints.select(*place, "fingerprint", blocks().alias("b")).select(*place, "fingerprint", "b.block", "b.value")
     met = asked.join(table, ["n", "block", "value"]).where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_print"))) <= radius)
-    return met.select("doc_id", "start", "n", "item_id").distinct()
+    return met.select(*place, "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -129,22 +136,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     found = durable(item_shingles(items, count, similarity))
     seeds = durable(found.where("chosen").select("shingle", "n", F.col("pos").alias("item_pos")).distinct())
     cut = durable(windows(docs, seeds))
-    prints = simhash(cut, ["doc_id", "start", "n"])
+    prints = simhash(cut, PLACE)
     item_prints = simhash(items, ["item_id", "n"])
     candidates = durable(hamming_candidates(prints, item_prints, radius))
-    parts = cut.join(candidates.select("doc_id", "start", "n").distinct(), ["doc_id", "start", "n"], "left_semi")
-    inside = parts.select("doc_id", "start", "n", F.explode(F.array_distinct(shingles(F.col("hashes")))).alias("shingle"))
+    parts = cut.join(candidates.select(*PLACE).distinct(), PLACE, "left_semi")
+    inside = parts.select(*PLACE, F.explode(F.array_distinct(shingles(F.col("hashes")))).alias("shingle"))
     weights = found.groupBy("shingle").agg(F.first("weight").alias("weight"))
     weighed = durable(inside.join(weights, "shingle", "left").withColumn("weight", F.coalesce("weight", F.log(1 + F.lit(float(count))))))
-    window_weight = weighed.groupBy("doc_id", "start", "n").agg(F.sum("weight").alias("window_weight"))
+    window_weight = weighed.groupBy(*PLACE).agg(F.sum("weight").alias("window_weight"))
     item_weight = found.groupBy("item_id").agg(F.sum("weight").alias("item_weight"))
     common = (
-        candidates.join(weighed, ["doc_id", "start", "n"])
+        candidates.join(weighed, PLACE)
         .join(found.select("item_id", "shingle"), ["item_id", "shingle"])
-        .groupBy("doc_id", "start", "n", "item_id")
+        .groupBy(*PLACE, "item_id")
         .agg(F.sum("weight").alias("common"))
     )
-    verified = common.join(window_weight, ["doc_id", "start", "n"]).join(item_weight, "item_id")
+    verified = common.join(window_weight, PLACE).join(item_weight, "item_id")
     exact = F.round(F.col("common") / (F.col("window_weight") + F.col("item_weight") - F.col("common")), 6)
     best = verified.withColumn("similarity", exact).where(F.col("similarity") >= similarity)
     top = best.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n", "similarity"), F.struct("similarity", -F.col("start"))).alias("w"))

@@ -85,3 +85,17 @@ def test_blocks_find_every_fingerprint_in_the_radius(spark, radius):
 def test_simhash_takes_the_majority_of_bits(spark):
     row = spark.range(1).select(F.lit(1).alias("k"), F.expr("array(1L, 3L, -1L)").alias("hashes"))
     assert decontaminate.simhash(row, ["k"]).first().fingerprint == 3
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_every_text_of_a_doc_id_is_searched(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", limit)
+    rng = random.Random(9)
+    item = [f"w{rng.randrange(900)}" for _ in range(30)]
+    other = [[f"x{rng.randrange(900)}" for _ in range(80)] for _ in range(6)]
+    # Windows of both texts of document 1 begin at the same word; those of 2 leak in the second text only.
+    rows = [(1, " ".join(other[0][:10] + item + other[0][10:])), (1, " ".join(other[1][:10] + item[:3] + other[1][10:])), (2, " ".join(other[2])), (2, " ".join(other[3] + item)), (3, " ".join(other[4]))]
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for shuffled in (rows, rows[::-1]):
+        found = decontaminate.contaminated(documents(spark, shuffled), benchmark).collect()
+        assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in found) == [(1, 7, 10, 1.0), (2, 7, 80, 1.0)]
