@@ -177,16 +177,20 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE) -> DataFram
     vectors joins their components.
     """
     units = durable(unit_vectors(vectors))
-    classes = durable(units.where("unit is not null").groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    # A class of equal vectors goes by a hash of its own: one id may come with several vectors.
+    named = units.where("unit is not null").withColumn("rep", F.xxhash64("label", "unit"))
+    classes = durable(named.groupBy("label", "unit", "rep").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")))
     radius = math.sqrt(max(2 - 2 * cosine, 0))
     pivots = choose_pivots(classes, classes.count())
     links = durable(cell_links(cells(classes, pivots, radius), cosine))
     degree = links.where("n is not null").groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("linked"))
-    found = components(links.where("dst is not null")).select(F.col("id").alias("rep"), "component")
-    labelled = durable(
-        classes.join(degree, "rep", "left").join(found, "rep", "left").select(
-            "label", "unit", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")
-        )
+    ids = named.groupBy("vec_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    same_id = named.join(ids.select("vec_id", "low"), "vec_id").where("rep <> low").select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct()
+    found = components(links.where("dst is not null").select("src", "dst").unionByName(same_id)).select(F.col("id").alias("rep"), F.col("component").alias("_class"))
+    joined = durable(classes.join(degree, "rep", "left").join(found, "rep", "left").withColumn("_class", F.coalesce("_class", "rep")))
+    smallest = joined.groupBy("_class").agg(F.min("least").alias("component"))
+    labelled = joined.join(smallest, "_class").select(
+        "label", "unit", (F.col("n") - 1 + F.coalesce("linked", F.lit(0))).alias("links"), "component"
     )
     out = units.join(labelled, ["label", "unit"], "left")
     component = F.coalesce("component", "vec_id")

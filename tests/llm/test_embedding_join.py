@@ -64,3 +64,11 @@ def test_links_match_brute_force(spark, monkeypatch, cell, cosine):
 
 def test_no_rows(spark):
     assert embedding_join.embedding_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_an_id_with_several_vectors_loses_no_link(spark):
+    near = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 1.0, 0.0], [0.0, 1.0, 0.01]
+    rows = [(1, near[2], 1), (2, near[0], 1), (3, near[1], 1), (3, near[3], 1), (4, [0.0, 0.0, 1.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = sorted(tuple(r) for r in embedding_join.embedding_components(frame).collect())
+    assert found == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
