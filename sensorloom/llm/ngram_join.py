@@ -38,8 +38,17 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+def digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
+def node_of(sig: bytes) -> int:
+    """What a set is called in links: a doc_id may come with several texts."""
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
 def prefixes(docs: DataFrame, k: int, percent: int, matches: int, hot: np.ndarray) -> DataFrame:
-    """``doc_id, n, sig, prefix``: set size, digest of the whole set, and its first tokens in the common order."""
+    """``doc_id, n, sig, node, prefix``: set size, digest of the whole set, its first half as a number, and its first tokens in the common order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +57,7 @@ def prefixes(docs: DataFrame, k: int, percent: int, matches: int, hot: np.ndarra
                 for tokens in shingle_sets(part.column(1), k):
                     n = len(tokens)
                     sizes.append(n)
-                    digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
+                    digests.append(digest(tokens))
                     length = min(n, n - needed(n, percent) + matches)
                     if len(hot) and n:
                         place = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
@@ -58,12 +67,15 @@ def prefixes(docs: DataFrame, k: int, percent: int, matches: int, hot: np.ndarra
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))],
-                    ["doc_id", "n", "sig", "prefix"],
-                )
+                    [
+                        part.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(map(node_of, digests), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64())),
+                    ],
+                    ["doc_id", "n", "sig", "node", "prefix"],
+                )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(trimmed(run), "doc_id long, n int, sig binary, prefix array<long>")
+    return source.mapInArrow(trimmed(run), "doc_id long, n int, sig binary, node long, prefix array<long>")
 
 
 def hot_tokens(base: DataFrame) -> np.ndarray:
@@ -85,21 +97,21 @@ def hot_tokens(base: DataFrame) -> np.ndarray:
 
 
 def representatives(sets: DataFrame) -> DataFrame:
-    """``sig, rep``: the smallest doc_id of each set that is not empty.
-
-    Where one doc_id comes with several texts, it represents that with the smallest digest only.
-    """
-    return sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    """``sig, node, n, rep``: each set that is not empty, and the smallest doc_id that holds it."""
+    named = sets.where("n > 0 and doc_id is not null")
+    return named.groupBy("sig", "node").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"))
 
 
 def one_each(sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """``doc_id, n, prefix`` of the representatives, without a shuffle of prefixes unless doc_ids repeat."""
+    """``doc_id`` (the node), ``n, prefix`` of every different set, without a shuffle of prefixes unless doc_ids repeat."""
     named = sets.where("n > 0 and doc_id is not null")
     if named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        copies = named.select("doc_id", "sig").join(reps, "sig").where("doc_id <> rep").select("doc_id")
-        return named.join(sized_side(copies), "doc_id", "left_anti").select("doc_id", "n", "prefix")
-    own = reps.groupBy("rep").agg(F.min("sig").alias("sig")).select(F.col("rep").alias("doc_id"), "sig")
-    return named.join(own, ["doc_id", "sig"], "left_semi").select("doc_id", "n", "prefix").dropDuplicates(["doc_id"])
+        copies = named.select("doc_id", "sig").join(reps.select("sig", "rep"), "sig").where("doc_id <> rep").select("doc_id")
+        one = named.join(sized_side(copies), "doc_id", "left_anti")
+    else:
+        own = reps.select(F.col("rep").alias("doc_id"), "sig")
+        one = named.join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["sig"])
+    return one.select(F.col("node").alias("doc_id"), "n", "prefix")
 
 
 def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -108,16 +120,19 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     Documents link when ``100 * common >= percent * union`` of their distinct ``k``-word
     shingles (A-Z lower-cased; fewer words: the whole sequence is one). component_id is the
     smallest doc_id reachable. Null and empty texts have no shingles and link with nothing; a
-    null doc_id links with nothing and has no component. Repeated rows are copies.
+    null doc_id links with nothing and has no component. Repeated rows are copies; different
+    texts of one doc_id are documents of their own, and each may link.
     """
     hot = hot_tokens(prefixes(docs, k, percent, 1, np.zeros(0, np.int64)))
     sets = durable(prefixes(docs, k, percent, MOST_MATCHES, hot))
     reps = durable(representatives(sets))
     links = candidate_links(one_each(sets, reps), percent)
     clusters = components(links, "doc_id", "root")
-    edges = verified_links(docs, clusters, sets.select("doc_id", "n"), k, percent)
-    found = components(edges, "doc_id", "root").select(F.col("id").alias("rep"), F.col("component"))
-    labelled = durable(reps.join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component_id")))
+    edges = verified_links(docs, clusters, reps.select("node", "n", "rep"), k, percent)
+    found = components(edges, "doc_id", "root").select(F.col("id").alias("node"), F.col("component").alias("_class"))
+    joined = durable(reps.join(found, "node", "left").select("sig", "rep", F.coalesce("_class", "node").alias("_class")))
+    smallest = joined.groupBy("_class").agg(F.min("rep").alias("component_id"))
+    labelled = durable(joined.join(smallest, "_class").select("sig", "component_id"))
     out = sets.select("doc_id", "n", "sig").join(labelled, "sig", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -128,7 +143,7 @@ def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Texts without words and rows without doc_id stay. Of rows that repeat a doc_id one stays.
     """
     found = durable(ngram_components(docs, k, percent))
-    later = found.where("component_id <> doc_id").select("doc_id").distinct()
+    later = found.groupBy("doc_id").agg(F.min(F.col("component_id") != F.col("doc_id")).alias("later")).where("later").select("doc_id")
     kept = docs.join(sized_side(later), "doc_id", "left_anti").select(*docs.columns)
     again = durable(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
@@ -229,25 +244,29 @@ def adaptive(mine: DataFrame, percent: int) -> DataFrame:
     return mine.select("doc_id", "n", "found").mapInArrow(trimmed(run), "doc_id long, n int, matches int, tokens array<struct<token:long,freq:long>>, top long")
 
 
-def verified_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, k: int, percent: int) -> DataFrame:
-    """A spanning forest of the true links inside each cluster of candidates, from whole texts.
+def verified_links(docs: DataFrame, clusters: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """A spanning forest of the true links (between nodes) inside each cluster of candidates, from whole texts.
 
-    Texts meet a small table of clusters where they are read; beyond its checked size they are shuffled.
+    Texts meet a small table of clusters where they are read; beyond its checked size they are
+    shuffled. Of the texts of one doc_id each stands for its own node.
     """
-    clusters = durable(clusters)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(sized_side(clusters), "id")
+    clusters = durable(clusters.join(reps, F.col("id") == F.col("node")).select("node", "component", "n", F.col("rep").alias("id")))
+    side = sized_side(clusters.select("id", "node", "component"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(side, "id")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
+                nodes = part.column(0).to_pylist()
                 sets = shingle_sets(part.column(2), k)
+                own = pa.array([node_of(digest(tokens)) == node for tokens, node in zip(sets, nodes)], pa.bool_())
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
                 arrays = [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "component", "tokens"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "component", "tokens"]).filter(own)
 
-    sets = texts.select("id", "component", "text").mapInArrow(trimmed(shingle), "doc_id long, component long, tokens array<long>")
-    large = clusters.join(sizes, clusters["id"] == sizes["doc_id"]).groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS)
+    sets = texts.select("node", "component", "text").mapInArrow(trimmed(shingle), "doc_id long, component long, tokens array<long>")
+    large = clusters.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS)
     joined = sets.join(durable(large), "component", "left")
     dealt = blocks(joined, "component", F.col("doc_id"), F.ceil(F.coalesce("total", F.lit(1)) / BLOCK_TOKENS))
 

@@ -62,3 +62,20 @@ def test_one_of_each_group_stays(spark):
     named = Counter(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None)
     assert named == Counter({d: 1 for d, c in groups.items() if d is not None and d == c})
     assert kept.where("doc_id is null").count() == 2
+
+
+def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    one, other = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    edited = other.replace("b3 ", "edit ")
+    rows = [(1, one), (1, other), (2, edited), (3, one + " more"), (3, "something else entirely here"), (4, "something else entirely here"), (1, one)]
+    found = ngram_join.ngram_components(documents(spark, rows), 3, 90)
+    sizes = {one: 78, other: 78, edited: 78, one + " more": 79, rows[4][1]: 2}
+    wanted = Counter([(1, 78, 1), (1, 78, 1), (1, 78, 1), (2, sizes[edited], 1), (3, 79, 1), (3, 2, 3), (4, 2, 3)])
+    assert Counter(tuple(r) for r in found.collect()) == wanted
+
+
+def test_words_that_collide_modulo_powers_of_two_are_different(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    pair = word, word.translate(str.maketrans("ab", "ba"))
+    found = ngram_join.ngram_components(documents(spark, [(1, pair[0]), (2, pair[1]), (3, pair[0])]), 3, 90)
+    assert Counter(tuple(r) for r in found.collect()) == Counter([(1, 1, 1), (2, 1, 2), (3, 1, 1)])
