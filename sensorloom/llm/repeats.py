@@ -28,12 +28,16 @@ LENGTH = 100
 WIDTH = 28
 GROUP_PHRASES = 8_000
 CHUNK_BYTES = 1 << 18
+#: Rows that a task gathers before it sorts out repeats on its own.
+GATHERED = 1 << 19
 PIECE = 1 << 20
 #: place: start of the first string << 16 | (strings - 1) << 8 | trigger - start
-PHRASES = "trigger long, phrase long, doc_id long, place long"
-MARKS = "trigger long, doc_id long, place long"
-SUFFIXES = "key long, tie long, doc_id long, place long, bytes binary"
-SPANS = "doc_id long, start long, strings long"
+PHRASES = "trigger long, phrase long, doc_id long, text_id long, place long"
+MARKS = "trigger long, doc_id long, text_id long, place long"
+SUFFIXES = "key long, tie long, doc_id long, text_id long, place long, bytes binary"
+SPANS = "doc_id long, text_id long, start long, strings long"
+TEXT = ["doc_id", "text_id"]
+NAMES = [x.split(" ")[0] for x in MARKS.split(", ")]
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,14 +72,59 @@ def parse(data: np.ndarray, offsets: np.ndarray, length: int, width: int) -> tup
     return first, last, at, hashes[at].view(np.int64), hashing.between(hashing.prefixes(data), first, last + length).view(np.int64)
 
 
+def first_places(parsed: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``PHRASES`` rows of a task, the trigger null where it met the phrase at an earlier place.
+
+    Rows are gathered and sorted, repeats leave, and the first places of phrases that were met more than once
+    stay to meet the next rows. So a phrase of any frequency leaves a task with few first places, and
+    what is dealt by trigger afterwards does not grow with its copies.
+    """
+    names = [x.split(" ")[0] for x in PHRASES.split(", ")]
+
+    def rows_of(columns: list[np.ndarray], repeat: bool) -> pa.RecordBatch:
+        null = np.full(len(columns[0]), repeat)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=null if i == 0 else None) for i, c in enumerate(columns)], names)
+
+    gathered: list[list[np.ndarray]] = []
+    n = 0
+    for batch in parsed:
+        gathered.append([c.to_numpy() for c in batch.columns])
+        n += batch.num_rows
+        if n < GATHERED:
+            continue
+        first, many, repeats = _sorted_out(gathered)
+        yield rows_of(repeats, True)
+        stay = many & (many.sum() <= GATHERED // 2)
+        yield rows_of([c[~stay] for c in first], False)
+        gathered = [[c[stay] for c in first]]
+        n = int(stay.sum())
+    if n:
+        first, _, repeats = _sorted_out(gathered)
+        yield rows_of(repeats, True)
+        yield rows_of(first, False)
+
+
+def _sorted_out(gathered: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """First places of the phrases, whether each came more than once, and all other places (without a first place again)."""
+    columns = [np.concatenate(c) for c in zip(*gathered)]
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    at = np.flatnonzero(new)
+    origin = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    again = ~new & np.logical_or.reduce([c != c[origin] for c in columns[2:]])
+    return [c[at] for c in columns], np.diff(np.append(at, len(new))) > 1, [c[again] for c in columns]
+
+
 def phrases(texts: DataFrame, length: int, width: int) -> DataFrame:
-    """The parse of all texts, a row per phrase; very long texts are parsed in overlapping pieces."""
+    """The parse of ``doc_id, text, text_id``, a row per phrase, seen by its task (``first_places``); very long texts are parsed in overlapping pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PIECE):
                 data, offsets = flat_bytes(part.column(1))
-                ids = part.column(0).to_numpy(zero_copy_only=False)
+                ids, text_ids = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
                 for at in range(0, max(len(data), 1), PIECE) if len(ids) == 1 else (0,):
                     if len(ids) == 1:
                         piece = data[at : at + PIECE + length - 1]
@@ -85,25 +134,30 @@ def phrases(texts: DataFrame, length: int, width: int) -> DataFrame:
                     first, last, trigger_at, trigger, phrase = parse(piece, bounds, length, width)
                     doc = np.searchsorted(bounds, first, "right") - 1
                     place = (first - bounds[doc] + at) << 16 | (last - first) << 8 | (trigger_at - first)
-                    columns = [trigger, phrase, ids[doc], place]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["trigger", "phrase", "doc_id", "place"])
+                    columns = [trigger, phrase, ids[doc], text_ids[doc], place]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["trigger", "phrase", "doc_id", "text_id", "place"])
 
-    return texts.mapInArrow(trimmed(run), PHRASES)
+    return texts.mapInArrow(trimmed(lambda batches: first_places(run(batches))), PHRASES)
 
 
 def dictionary(parsed: DataFrame) -> DataFrame:
     """Phrases that matter: repeats of a phrase (trigger null) and phrases that share their trigger with another.
 
-    Streams sorted rows and holds one of them at a time, so a trigger of any frequency fits.
+    Repeats that their task found (trigger null) go through. The rest is streamed in order, one row held at a time,
+    so a trigger of any frequency fits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before: tuple | None = None  # trigger and phrase of the last row, and where that phrase came first
         pending: tuple | None = None  # first row of the open trigger while it is the only phrase
         for batch in batches:
+            known = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            if known.any():
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(known)) for i in (0, 2, 3, 4)], NAMES)
+                batch = batch.filter(pa.array(~known))
             if not batch.num_rows:
                 continue
-            trigger, phrase, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            trigger, phrase, doc, text, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             new_trigger = np.concatenate(([before is None or trigger[0] != before[0]], trigger[1:] != trigger[:-1]))
             new_phrase = new_trigger | np.concatenate(([before is None or phrase[0] != before[1]], phrase[1:] != phrase[:-1]))
             if new_trigger[0]:
@@ -115,13 +169,13 @@ def dictionary(parsed: DataFrame) -> DataFrame:
             take = np.sort(np.concatenate([np.flatnonzero(another), first_rows]))
             # A row at its phrase's first place is that place again: a repeated row of one document.
             origin = np.maximum.accumulate(np.where(new_phrase, np.arange(len(doc)), -1))
-            origin_doc, origin_place = doc[origin], place[origin]
+            first = [x[origin] for x in (doc, text, place)]
             if before is not None:
-                origin_doc, origin_place = np.where(origin < 0, before[2], origin_doc), np.where(origin < 0, before[3], origin_place)
-            repeats = np.flatnonzero(~new_phrase & ((doc != origin_doc) | (place != origin_place)))
+                first = [np.where(origin < 0, b, x) for b, x in zip(before[2:], first)]
+            repeats = np.flatnonzero(~new_phrase & ((doc != first[0]) | (text != first[1]) | (place != first[2])))
             rows_t = np.concatenate([trigger[take], np.zeros(len(repeats), np.int64)])
             rows = np.concatenate([take, repeats])
-            lists = [rows_t, doc[rows], place[rows]]
+            lists = [rows_t, doc[rows], text[rows], place[rows]]
             null = np.concatenate([np.zeros(len(take), bool), np.ones(len(repeats), bool)])
             if pending is not None and 0 in shared:  # run 0 goes on from the batch before
                 lists = [np.append(x, y) for x, y in zip(lists, pending)]
@@ -130,15 +184,17 @@ def dictionary(parsed: DataFrame) -> DataFrame:
             last = int(run_id[-1])
             if last > 0 and last not in shared:
                 i = int(np.flatnonzero(new_trigger)[-1])
-                pending = (trigger[i], doc[i], place[i])
+                pending = (trigger[i], doc[i], text[i], place[i])
             elif last > 0:
                 pending = None
-            before = (trigger[-1], phrase[-1], origin_doc[-1], origin_place[-1])
+            before = (trigger[-1], phrase[-1], *(x[-1] for x in first))
             if len(null):
                 columns = [pa.array(lists[0], pa.int64(), mask=null), *(pa.array(x, pa.int64()) for x in lists[1:])]
-                yield pa.RecordBatch.from_arrays(columns, ["trigger", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays(columns, NAMES)
 
-    return parsed.repartition(F.col("trigger")).sortWithinPartitions("trigger", "phrase", "doc_id", "place").mapInArrow(trimmed(run), MARKS)
+    # Repeats may go to any task; their place deals them out.
+    dealt = parsed.repartition(F.coalesce("trigger", F.xxhash64("doc_id", "place")))
+    return dealt.sortWithinPartitions("trigger", "phrase", "doc_id", "text_id", "place").mapInArrow(trimmed(run), MARKS)
 
 
 def suffixes(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
@@ -149,7 +205,7 @@ def suffixes(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     """
     large = durable(shared.groupBy("trigger").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_PHRASES).select("trigger", F.lit(True).alias("large")))
     marked = shared.join(large, "trigger", "left")
-    by_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("trigger", "place", F.coalesce("large", F.lit(False)).alias("large"))).alias("found"))
+    by_doc = marked.groupBy(*TEXT).agg(F.collect_list(F.struct("trigger", "place", F.coalesce("large", F.lit(False)).alias("large"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,13 +217,13 @@ def suffixes(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                 values = found.values.slice(bounds[0], bounds[-1] - bounds[0])
                 trigger, place = (values.field(i).to_numpy() for i in range(2))
                 large = values.field(2).to_numpy(zero_copy_only=False)
-                ids = part.column(0).to_numpy()
+                ids, text_ids = part.column(0).to_numpy(), part.column(3).to_numpy()
                 start = offsets[doc] + (place >> 16)
                 end = start + (place >> 8 & 255) + length
                 small = np.flatnonzero(~large)
                 raw = data.tobytes()
                 blobs = [raw[a:b] for a, b in zip(start[small].tolist(), end[small].tolist())]
-                columns = [trigger[small], np.zeros(len(small), np.int64), ids[doc[small]], place[small]]
+                columns = [trigger[small], np.zeros(len(small), np.int64), ids[doc[small]], text_ids[doc[small]], place[small]]
                 yield _suffix_rows(columns, pa.array(blobs, pa.binary()))
                 if large.any():
                     rows = np.flatnonzero(large)
@@ -176,13 +232,13 @@ def suffixes(texts: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                     step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
                     at = start[owner] + step
                     keys = [r.between(r.prefixes(data), at, at + length).view(np.int64) for r in (prime_hash(4), prime_hash(5))]
-                    yield _suffix_rows([*keys, ids[doc[owner]], ((place[owner] >> 16) + step) << 16], pa.nulls(len(owner), pa.binary()))
+                    yield _suffix_rows([*keys, ids[doc[owner]], text_ids[doc[owner]], ((place[owner] >> 16) + step) << 16], pa.nulls(len(owner), pa.binary()))
 
-    return texts.join(by_doc, "doc_id").select("doc_id", "text", "found").mapInArrow(trimmed(run), SUFFIXES)
+    return texts.join(by_doc, TEXT).select("doc_id", "text", "found", "text_id").mapInArrow(trimmed(run), SUFFIXES)
 
 
 def _suffix_rows(columns: list[np.ndarray], blobs: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), blobs], ["key", "tie", "doc_id", "place", "bytes"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), blobs], ["key", "tie", "doc_id", "text_id", "place", "bytes"])
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -207,12 +263,11 @@ def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def later_strings(rows: DataFrame, length: int) -> DataFrame:
-    """Strings of the sorted suffixes that also start earlier, as ``doc_id, start, strings`` runs."""
+    """Strings of the sorted suffixes that also start earlier, as ``doc_id, text_id, start, strings`` runs."""
 
-    def sort_chunk(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        blobs = [b for _, _, _, columns in held for b in columns]
-        doc = np.concatenate([h[1] for h in held])
-        place = np.concatenate([h[2] for h in held])
+    def sort_chunk(held: list[tuple]) -> tuple[np.ndarray, ...]:
+        blobs = [b for *_, columns in held for b in columns]
+        doc, text, place = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
         data = np.frombuffer(b"".join(blobs), np.uint8)
         sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
         begin = np.cumsum(sizes) - sizes
@@ -220,12 +275,13 @@ def later_strings(rows: DataFrame, length: int) -> DataFrame:
         owner = np.repeat(np.arange(len(blobs)), many)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
         rank = suffix_ranks(data, length)[begin[owner] + step]
-        docs, starts = doc[owner], (place[owner] >> 16) + step
-        order = np.lexsort((starts, docs, rank))
-        again = order[1:][rank[order][1:] == rank[order][:-1]]
-        same = (docs[again] == docs[order[:-1]][rank[order][1:] == rank[order][:-1]]) & (starts[again] == starts[order[:-1]][rank[order][1:] == rank[order][:-1]])
-        again = again[~same]  # repeated rows of one document are the same place
-        return docs[again], starts[again]
+        strings = [doc[owner], text[owner], (place[owner] >> 16) + step]
+        order = np.lexsort((*strings[::-1], rank))
+        equal = rank[order][1:] == rank[order][:-1]
+        again, prior = order[1:][equal], order[:-1][equal]
+        # Repeated rows of one document are the same place.
+        again = again[np.logical_or.reduce([x[again] != x[prior] for x in strings])]
+        return tuple(x[again] for x in strings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -234,15 +290,16 @@ def later_strings(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, tie, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            alone = batch.column(4).is_null().to_numpy(zero_copy_only=False)
+            key, tie, doc, text, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            alone = batch.column(5).is_null().to_numpy(zero_copy_only=False)
             if alone.any():
-                k, t, d, p = key[alone], tie[alone], doc[alone], place[alone]
+                single = [x[alone] for x in (key, tie, doc, text, place)]
                 if before is not None:
-                    k, t, d, p = (np.concatenate(([x], y)) for x, y in zip(before, (k, t, d, p)))
-                again = 1 + np.flatnonzero((k[1:] == k[:-1]) & (t[1:] == t[:-1]) & ((d[1:] != d[:-1]) | (p[1:] != p[:-1])))
-                before = (k[-1], t[-1], d[-1], p[-1])
-                yield _runs(d[again], p[again] >> 16)
+                    single = [np.concatenate(([x], y)) for x, y in zip(before, single)]
+                k, t, d, i, p = ((x[1:] != x[:-1]) for x in single)
+                again = 1 + np.flatnonzero(~k & ~t & (d | i | p))
+                before = tuple(x[-1] for x in single)
+                yield _runs(single[2][again], single[3][again], single[4][again] >> 16)
             rows = np.flatnonzero(~alone)
             if not len(rows):
                 continue
@@ -254,27 +311,29 @@ def later_strings(rows: DataFrame, length: int) -> DataFrame:
                     held, size = [], 0
                 last_key = keys[a]
                 some = rows[a:b]
-                blobs = batch.column(4).take(pa.array(some)).to_pylist()
-                held.append((last_key, doc[some], place[some], blobs))
+                blobs = batch.column(5).take(pa.array(some)).to_pylist()
+                held.append((last_key, doc[some], text[some], place[some], blobs))
                 size += sum(map(len, blobs))
         if held:
             yield _runs(*sort_chunk(held))
 
-    return rows.repartition(F.col("key")).sortWithinPartitions("key", "tie", "doc_id", "place").mapInArrow(trimmed(run), SPANS)
+    return rows.repartition(F.col("key")).sortWithinPartitions("key", "tie", "doc_id", "text_id", "place").mapInArrow(trimmed(run), SPANS)
 
 
-def _runs(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Neighbouring starts of one document as one row."""
+def _runs(doc: np.ndarray, text: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Neighbouring starts of one text as one row."""
+    many = start
     if len(doc):
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        keep = np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])))
-        doc, start = doc[keep], start[keep]
-        cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1))))
-        doc, start, many = doc[cut], start[cut], np.diff(np.append(cut, len(doc)))
-    else:
-        many = doc
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, many)], ["doc_id", "start", "strings"])
+        order = np.lexsort((start, text, doc))
+        doc, text, start = doc[order], text[order], start[order]
+        other = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+        keep = np.concatenate(([True], other | (start[1:] != start[:-1])))
+        doc, text, start = doc[keep], text[keep], start[keep]
+        other = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+        cut = np.flatnonzero(np.concatenate(([True], other | (start[1:] != start[:-1] + 1))))
+        many = np.diff(np.append(cut, len(doc)))
+        doc, text, start = doc[cut], text[cut], start[cut]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, text, start, many)], ["doc_id", "text_id", "start", "strings"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) -> DataFrame:
@@ -283,21 +342,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH) ->
     ``spans`` (array of start and end) are the maximal runs of bytes covered by a ``length``-byte
     string that also starts earlier: in a smaller doc_id, or earlier in the same text. ``kept`` is
     the rest. Strings never cross documents; null text is empty, shorter texts stay whole. A
-    null doc_id has no place in the order, so nothing is removed from or because of it. doc_id
-    identifies a text: rows that repeat it are that document again, not a copy of it.
+    null doc_id has no place in the order, so nothing is removed from or because of it. Equal rows
+    are one document; different texts of one doc_id are documents of their own, in the order of their hashes.
     """
     spark = docs.sparkSession
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = typed.where("doc_id is not null")
+    known = typed.where("doc_id is not null").withColumn("text_id", F.xxhash64("text"))
     path = scratch_path(spark, "repeats")
     dictionary(phrases(known, length, width)).write.option("compression", "zstd").parquet(path)
     marks = spark.read.schema(MARKS).parquet(path)
     # One shuffle of the texts serves the look-up of phrases and the removal.
-    texts = known.repartition(F.col("doc_id"))
+    texts = known.repartition(*TEXT)
     later = later_strings(suffixes(texts, marks.where("trigger is not null"), length), length)
-    whole = marks.where("trigger is null").select("doc_id", F.shiftright("place", 16).alias("start"), (F.shiftright("place", 8).bitwiseAND(255) + 1).alias("strings"))
-    spans = later.unionByName(whole).groupBy("doc_id").agg(F.collect_list(F.struct("start", "strings")).alias("found"))
-    cleaned = _remove(texts.join(spans, "doc_id", "left"), length)
+    whole = marks.where("trigger is null").select(*TEXT, F.shiftright("place", 16).alias("start"), (F.shiftright("place", 8).bitwiseAND(255) + 1).alias("strings"))
+    spans = later.unionByName(whole).groupBy(*TEXT).agg(F.collect_list(F.struct("start", "strings")).alias("found"))
+    cleaned = _remove(texts.join(spans, TEXT, "left"), length)
     nameless = typed.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<start:long,strings:long>>").alias("found"))
     return cleaned.union(_remove(nameless, length))
 

@@ -63,3 +63,33 @@ def test_every_string_lies_in_one_phrase():
 
 def test_no_rows(spark):
     assert repeats.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(4)
+    shared, alone = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (688, 685))
+    found = repeats.remove_repeats(documents(spark, [(1, shared), (2, shared), (2, alone), (2, alone)])).collect()
+    spans = sorted((r.doc_id, r.n_bytes, [tuple(s) for s in r.spans]) for r in found)
+    assert spans == [(1, 688, []), (2, 685, []), (2, 685, []), (2, 688, [(0, 688)])]
+
+
+@pytest.mark.parametrize("gathered", [1, 7, 1 << 19])
+def test_repeats_found_by_their_task(spark, monkeypatch, gathered):
+    monkeypatch.setattr(repeats, "GATHERED", gathered)
+    rng = random.Random(gathered)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows = [(i, line * rng.randint(0, 4) + "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(60)]
+    rng.shuffle(rows)
+    want = expected(rows, 20)
+    for parts in (1, 5):
+        for r in repeats.remove_repeats(documents(spark, rows).repartition(parts), 20, 6).collect():
+            assert [tuple(s) for s in r.spans] == want[r.doc_id][1]
+
+
+def test_a_common_phrase_leaves_a_task_once(spark):
+    text = "".join(random.Random(5).choice("abcdefgh ") for _ in range(150))
+    docs = documents(spark, [(i, text) for i in range(400)]).selectExpr("doc_id", "text", "0L as text_id").repartition(4)
+    parsed = repeats.phrases(docs, 100, 28)
+    firsts = parsed.where("trigger is not null")
+    assert parsed.count() >= 400
+    assert firsts.groupBy("trigger", "phrase").count().where("count > 4").count() == 0
