@@ -54,6 +54,20 @@ def stored_recent_of_room(spark, sf):
     return plain(log.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select(*COLUMNS))
 
 
+BATCHES = 4
+
+
+@query("stored_event_by_id", f"WITH {LOG} SELECT {', '.join(COLUMNS)} FROM log WHERE event_id = (SELECT max(event_id) FROM log)")
+def stored_event_by_id(spark, sf):
+    """One event of a log that came in batches: of the files of its day only those that may hold the id are opened."""
+    path = scratch_path(use_utc(spark), "stored-log")
+    log = log_of(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    for batch in range(BATCHES):
+        write_log(log.where(F.pmod(F.xxhash64("event_id"), F.lit(BATCHES)) == batch), path)
+    wanted = log.agg(F.max("event_id")).first()[0]
+    return plain(read_log(spark, path).where(F.col("event_id") == wanted).select(*COLUMNS))
+
+
 @query(
     "stored_last_writes",
     f"""WITH {LOG}, twice AS (SELECT * FROM log UNION ALL SELECT * REPLACE (event_id || '-b' AS event_id, value + 1 AS value) FROM log

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sensorloom.operators.records import upsert
 from sensorloom.schema import LOG_FIELDS, LOG_SCHEMA
 from sensorloom.session import durable
-from sensorloom.sources.log import with_event_date
+from sensorloom.sources.log import POINT_READS, with_event_date
 
 
 class StateTable:
@@ -137,6 +137,7 @@ class LogTable:
                     .sortWithinPartitions("event_date", "room_id", "ts")
                     .write.mode("overwrite")
                     .option("partitionOverwriteMode", "dynamic")
+                    .options(**POINT_READS)
                     .partitionBy("event_date", "batch")
                     .parquet(self.path)
                 )
@@ -174,7 +175,7 @@ class LogTable:
         day = F.lit(date).cast("date")
         rows = durable(self._stored().where(F.col("event_date") == day)).withColumn("batch", F.lit(-1).cast("bigint"))
         ordered = rows.drop("event_date").hint("rebalance").sortWithinPartitions("room_id", "ts")
-        ordered.write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/event_date={date}")
+        ordered.write.mode("overwrite").options(**POINT_READS).partitionBy("batch").parquet(f"{self.path}/event_date={date}")
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -183,6 +184,7 @@ def append_log(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Stre
         with_event_date(stream)
         .writeStream.format("parquet")
         .partitionBy("event_date")
+        .options(**POINT_READS)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")

@@ -100,3 +100,36 @@ def test_log_is_pruned_by_date_and_pushed_down(spark, tmp_path):
     plan = part.filter("room_id = 'a'").select("event_id")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert "EqualTo(room_id,a)" in plan and "GreaterThanOrEqual(ts" in plan and "value" not in plan.split("ReadSchema")[1]
+
+
+def rows_scanned(df):
+    """Rows that the parquet scan of a plan gives out: those of the pages and row groups it opened."""
+    execution = df.select("*")._jdf.queryExecution()  # a run of its own: metrics add up
+    execution.executedPlan().executeCollect()
+    leaf = execution.executedPlan().collectLeaves().apply(0)
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_point_reads_open_few_pages(spark, tmp_path):
+    path, batches, rooms_of_log, each = str(tmp_path / "log"), 4, 2000, 20
+    n = rooms_of_log * each
+    numbers = spark.range(n).selectExpr(
+        "md5(cast(id as string)) as event_id", f"concat('room-', lpad(id % {rooms_of_log}, 5, '0')) as room_id", "'motion' as sensor_type",
+        "double(id) as value", "'bool' as unit", f"timestamp'2026-01-15' + make_interval(0, 0, 0, 0, 0, 0, id div {rooms_of_log}) as ts",
+        "'normal' as status", "id",
+    )
+    for batch in range(batches):
+        write_log(numbers.where(F.col("id") % batches == batch).drop("id"), path)
+    log = read_log(spark, path)
+    assert log.count() == n
+
+    # Rooms interleave in time and come in every fourth number, so one batch holds a room; its names span all files.
+    room = log.where("room_id = 'room-00777'")
+    assert room.count() == each
+    assert rows_scanned(room) <= 2 * 2000 < n / batches
+
+    event = log.where(F.col("event_id") == F.md5(F.lit("12345")))
+    assert [r["value"] for r in dicts(event)] == [12345.0]
+    assert rows_scanned(event) <= n / batches
+    missing = log.where(F.col("event_id") == F.md5(F.lit("no such event")))
+    assert rows_scanned(missing) <= n / batches  # a filter errs for one id in a hundred
