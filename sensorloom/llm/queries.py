@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import conversations, decontaminate, embedding_join, hard_negatives, html_text, language, mixing, ngram_join, passages, quality, repeats, token_files, warc
+from sensorloom.llm import conversations, decontaminate, embedding_join, hard_negatives, html_text, language, mixing, ngram_join, oracles, passages, quality, repeats, token_files, warc
 from sensorloom.llm.registry import query, read
 from sensorloom.session import durable
 
 
-@query("op1_warc")
+@query("op1_warc", oracles.WARC)
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, read back by the salvage reader."""
     found = warc.archive_round_trip(read(spark, sf_dir, "pages"))
@@ -41,13 +41,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op4_ngram_join")
+@query("op4_ngram_join", oracles.NGRAMS)
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose three-word shingles have a Jaccard similarity of 0.9 or more."""
     return ngram_join.ngram_components(read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-@query("op7_embedding_join")
+@query("op7_embedding_join", oracles.EMBEDDINGS)
 def op7_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors with equal labels and a cosine of 0.98 or more."""
     return embedding_join.embedding_components(read(spark, sf_dir, "embeddings"))
@@ -72,7 +72,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read(spark, sf_dir, "pages"))
 
 
-@query("op9_repeats")
+@query("op9_repeats", oracles.REPEATS)
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without 100-byte strings that start earlier."""
     cleaned = repeats.remove_repeats(read(spark, sf_dir, "documents"))
