@@ -8,8 +8,6 @@ table (a few rows per source) reaches the driver; documents are picked in Spark.
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,60 +44,77 @@ def min_cost_flow(capacity: dict, wanted: dict, repeats: int = MAX_REPEATS) -> d
     """Tokens from each pattern (tuple of sources) to each of its sources.
 
     ``capacity``: tokens of a pattern; ``wanted``: whole tokens of a source. The n-th use of a
-    pattern's tokens costs 2n - 1, so costs are convex. Successive shortest paths with
-    potentials give the cheapest of the largest flows, in exact integers.
+    pattern's tokens costs 2n - 1, so costs are convex. Only leaving the start costs anything, so a
+    shortest path costs what its pattern's next use does and cheapest paths come use by use: each
+    use is opened in turn and its level filled by blocking flows, which may reroute what earlier uses
+    sent but take none of it back. That gives the cheapest of the largest flows, in exact integers.
     """
     patterns, sources = list(capacity), list(wanted)
-    at = {("p", p): i + 1 for i, p in enumerate(patterns)} | {("s", s): len(patterns) + i + 1 for i, s in enumerate(sources)}
-    start, end = 0, len(at) + 1
+    node = {s: len(patterns) + i + 1 for i, s in enumerate(sources)}
+    start, end = 0, len(patterns) + len(sources) + 1
     graph: list[list[int]] = [[] for _ in range(end + 1)]
-    to, room, cost = [], [], []
+    to, room = [], []
 
-    def arc(a: int, b: int, most: int, price: int) -> int:
-        for x, y, m, c in ((a, b, most, price), (b, a, 0, -price)):
+    def arc(a: int, b: int, most: int) -> int:
+        for x, y, m in ((a, b, most), (b, a, 0)):
             graph[x].append(len(to))
-            to.append(y), room.append(m), cost.append(c)
+            to.append(y), room.append(m)
         return len(to) - 2
 
-    middle = {}
-    for p in patterns:
-        for n in range(repeats):
-            arc(start, at["p", p], capacity[p], 2 * n + 1)
+    uses, middle = [], {}
+    for i, p in enumerate(patterns):
+        uses.append(arc(start, i + 1, 0))
         for s in p:
             if s in wanted:
-                middle[p, s] = arc(at["p", p], at["s", s], repeats * capacity[p], 0)
+                middle[p, s] = arc(i + 1, node[s], repeats * capacity[p])
     for s in sources:
-        arc(at["s", s], end, wanted[s], 0)
+        arc(node[s], end, wanted[s])
+    for _ in range(repeats):
+        for p, e in zip(patterns, uses):
+            room[e] += capacity[p]
+        _fill(graph, to, room, start, end)
+    return {key: room[e ^ 1] for key, e in middle.items() if room[e ^ 1]}
+
 
-    potential = [0] * (end + 1)
+def _fill(graph: list[list[int]], to: list[int], room: list[int], start: int, end: int) -> None:
+    """Largest flow in what ``room`` leaves, by blocking flows along the arcs of breadth-first levels."""
     while True:
-        distance, via = {start: 0}, {}
-        heap, settled = [(0, start)], set()
-        while heap:
-            d, x = heapq.heappop(heap)
-            if x in settled:
+        level = [-1] * len(graph)
+        level[start], front = 0, [start]
+        while front and level[end] < 0:
+            reached = []
+            for x in front:
+                for e in graph[x]:
+                    if room[e] and level[to[e]] < 0:
+                        level[to[e]] = level[x] + 1
+                        reached.append(to[e])
+            front = reached
+        if level[end] < 0:
+            return
+        tried, path, x = [0] * len(graph), [], start
+        while True:
+            if x == end:
+                amount = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= amount
+                    room[e ^ 1] += amount
+                full = next(i for i, e in enumerate(path) if not room[e])
+                x = to[path[full] ^ 1]
+                del path[full:]
                 continue
-            settled.add(x)
-            for e in graph[x]:
-                if room[e]:
-                    y, dy = to[e], d + cost[e] + potential[x] - potential[to[e]]
-                    if dy < distance.get(y, dy + 1):
-                        distance[y], via[y] = dy, e
-                        heapq.heappush(heap, (dy, y))
-        if end not in settled:
-            break
-        far = max(distance[x] for x in settled)
-        for x in range(end + 1):
-            potential[x] += distance[x] if x in settled else far
-        path, x = [], end
-        while x != start:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        amount = min(room[e] for e in path)
-        for e in path:
-            room[e] -= amount
-            room[e ^ 1] += amount
-    return {key: room[e ^ 1] for key, e in middle.items() if room[e ^ 1]}
+            while tried[x] < len(graph[x]):
+                e = graph[x][tried[x]]
+                if room[e] and level[to[e]] == level[x] + 1:
+                    break
+                tried[x] += 1
+            else:
+                if not path:
+                    break
+                level[x] = -1
+                x = to[path.pop() ^ 1]
+                continue
+            path.append(e)
+            x = to[e]
 
 
 def mix(docs: DataFrame, weights=None, share: float = 1.0, repeats: int = MAX_REPEATS, seed: int = 0) -> tuple[DataFrame, dict, dict]:
@@ -124,7 +139,7 @@ def mix(docs: DataFrame, weights=None, share: float = 1.0, repeats: int = MAX_RE
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns; name fewer sources")
     key = {r["_pattern"]: tuple(sorted(set(r["sources"]), key=_null_last)) for r in found}
-    capacity = {key[r["_pattern"]]: r["tokens"] for r in found}
+    capacity = {key[r["_pattern"]]: r["tokens"] for r in sorted(found, key=lambda r: r["_pattern"])}
     sizes: dict = {}
     for p, tokens in capacity.items():
         for s in p:
