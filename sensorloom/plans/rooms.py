@@ -166,8 +166,12 @@ def acknowledgements(spark, sf):
 
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return as_bodies(tables.readings(spark, sf))
+
+
+def as_bodies(readings: DataFrame) -> DataFrame:
     """Readings written as JSON bodies, damaged in ten ways by event number."""
-    r = tables.readings(spark, sf).withColumn("_n", F.col("event_id").cast("bigint") % 10)
+    r = readings.withColumn("_n", F.col("event_id").cast("bigint") % 10)
     text = F.to_json(
         F.struct(
             "event_id", "room_id", "sensor_type", "value",

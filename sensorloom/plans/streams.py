@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorloom.operators import state
 from sensorloom.operators.classify import classify
@@ -110,10 +112,10 @@ def stream_counts(spark, sf):
     """What each batch brought, kept and refused, as it was observed on the way; every fifth reading comes twice."""
     root = scratch_path(use_utc(spark), "counts")
     log = sinks.LogTable(spark, f"{root}/log")
-    once = tables.readings(spark, sf)
+    once = tables.as_readings(spread(tables.table(spark, sf, "events")))
     sent = once.unionByName(once.where(F.col("event_id").cast("bigint") % 5 == 0))
-    source = by_arrival(spark, sent.withColumn("_n", F.hash("event_id", "value") % 3), F.col("_n"), "counted").drop("_n")
-    ingest.ingest_log(spark, source, f"{root}/log", f"{root}/checkpoint", **ONCE).awaitTermination()
+    for source in by_arrival(spark, sent, F.pmod(F.hash("event_id", "value"), F.lit(4)), "counted"):
+        ingest.ingest_log(spark, source, f"{root}/log", f"{root}/checkpoint", **ONCE).awaitTermination()
     columns = ("total", "accepted", "rejected", "stored", "duplicates")
     return log.stats().agg(*[F.sum(c).cast("bigint").alias(c) for c in columns])
 
@@ -180,15 +182,34 @@ def stream_dedup(spark, sf):
     return naive(read_log(spark, f"{root}/log").select("event_id", "room_id", "sensor_type", "value", "ts"))
 
 
-def by_arrival(spark, rows: DataFrame, arrival, name: str, batches: int = 4) -> DataFrame:
-    """The rows as a stream of several batches: one file for each run of arrival times, oldest first."""
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, however few files and row groups they come from."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def by_arrival(spark, rows: DataFrame, number, name: str, batches: int = 4) -> Iterator[DataFrame]:
+    """The rows as a stream of several batches, by their ``number`` from 0.
+
+    The stream is handed out once for each batch, when its files have come; a query that is then run to the
+    end and keeps its checkpoint takes them as one batch. ``rows`` are computed once, and each batch has as many files as ``rows`` have tasks.
+    """
     root = scratch_path(spark, name)
+    dealt = T.StructType([*rows.schema.fields, T.StructField("_batch", T.IntegerType())])
+    rows.withColumn("_batch", number).write.partitionBy("_batch").parquet(f"{root}/all")
+    for i in range(batches):
+        part = spark.read.schema(dealt).parquet(f"{root}/all").where(F.col("_batch") == i).drop("_batch")
+        part.write.mode("append").parquet(f"{root}/come")
+        yield spark.readStream.schema(rows.schema).parquet(f"{root}/come")
+
+
+def run_of_times(rows: DataFrame, arrival, batches: int = 4):
+    """Number of the equal span of arrival times that a row falls into, oldest first."""
     low, high = rows.agg(F.min(arrival), F.max(arrival)).first()
     width = (high - low) / batches
-    for i in range(batches):
-        part = (arrival >= low + i * width) & (arrival < low + (i + 1) * width) if i < batches - 1 else arrival >= low + i * width
-        rows.where(part).coalesce(1).write.mode("append").parquet(root)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    number = F.lit(0)
+    for i in range(1, batches):
+        number = F.when(arrival >= F.lit(low + i * width), i).otherwise(number)
+    return number
 
 
 @query(
@@ -198,34 +219,37 @@ def by_arrival(spark, rows: DataFrame, arrival, name: str, batches: int = 4) ->
 def stream_late_readings(spark, sf):
     """Four batches; every seventh reading arrives three days late, every fifth is delivered twice, the second time late."""
     number = F.col("event_id").cast("bigint")
-    once = tables.as_readings(tables.table(spark, sf, "events"))
+    once = tables.as_readings(spread(tables.table(spark, sf, "events")))
     late = F.when(number % 7 == 0, F.expr("INTERVAL 72 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
     sent = once.withColumn("_arrival", F.col("ts") + late)
     sent = sent.unionByName(once.where(number % 5 == 0).withColumn("_arrival", F.col("ts") + F.expr("INTERVAL 100 HOURS")))
-    source = by_arrival(spark, sent, F.col("_arrival"), "late").drop("_arrival")
     root = scratch_path(spark, "late-log")
-    ingest.ingest_log(spark, source, f"{root}/log", f"{root}/checkpoint", **ONCE).awaitTermination()
+    for source in by_arrival(spark, sent, run_of_times(sent, F.col("_arrival")), "late"):
+        ingest.ingest_log(spark, source.drop("_arrival"), f"{root}/log", f"{root}/checkpoint", **ONCE).awaitTermination()
     return naive(read_log(spark, f"{root}/log").select("event_id", "room_id", "sensor_type", "value", "ts", "status"))
 
 
-def body_stream(spark, sf) -> DataFrame:
+def body_stream(spark, sf) -> Iterator[DataFrame]:
     """The damaged bodies of ``parsed_bodies`` as a stream of four batches."""
-    rows = rooms.bodies(spark, sf).withColumn("_n", F.crc32(F.coalesce("body", F.lit("")).cast("binary")) % 4)
-    return by_arrival(spark, rows, F.col("_n"), "bodies").drop("_n")
+    rows = rooms.as_bodies(tables.as_readings(spread(tables.table(spark, sf, "events"))))
+    return by_arrival(spark, rows, (F.crc32(F.coalesce("body", F.lit("")).cast("binary")) % 4).cast("int"), "bodies")
 
 
 @query("stream_bodies", ORACLES["parsed_bodies"])
 def stream_bodies(spark, sf):
     root = scratch_path(spark, "body-log")
-    source = body_stream(use_utc(spark), sf)
-    ingest.ingest_log(spark, source, f"{root}/log", f"{root}/checkpoint", ingest.split_bodies, **ONCE).awaitTermination()
+    for source in body_stream(use_utc(spark), sf):
+        ingest.ingest_log(spark, source, f"{root}/log", f"{root}/checkpoint", ingest.split_bodies, **ONCE).awaitTermination()
     return naive(read_log(spark, f"{root}/log")).select(*rooms.LOG_COLUMNS)
 
 
 @query("stream_body_rejects", ORACLES["parsed_rejects"])
 def stream_body_rejects(spark, sf):
-    rejected = ingest.split_bodies(body_stream(use_utc(spark), sf))[1].select("reject_class", "reject_reasons")
-    return rejects_by_reason(drained(rejected, "body-rejects"))
+    root = scratch_path(spark, "body-rejects")
+    for source in body_stream(use_utc(spark), sf):
+        rejected = ingest.split_bodies(source)[1].select("reject_class", "reject_reasons")
+        sinks.append_rows(rejected, f"{root}/rows", f"{root}/checkpoint", **ONCE).awaitTermination()
+    return rejects_by_reason(spark.read.schema(rejected.schema).parquet(f"{root}/rows"))
 
 
 CLOCK = "~clock"
@@ -333,10 +357,10 @@ def stream_admission_by_tier(spark, sf):
     limits = tables.device_registry(spark, sf).select(
         "device_id", F.when(tier == "free", TIER_LIMITS["free"]).when(tier == "standard", TIER_LIMITS["standard"]).alias("limit")
     )
-    messages = tables.as_messages(tables.table(use_utc(spark), sf, "events")).select("message_id", "device_id", "ts")
+    messages = tables.as_messages(spread(tables.table(use_utc(spark), sf, "events"))).select("message_id", "device_id", "ts")
     root = scratch_path(spark, "tier-admission")
-    source = by_arrival(spark, messages, F.col("ts"), "messages")
-    admission.start_admission(spark, source, root, limits, **ONCE).awaitTermination()
+    for source in by_arrival(spark, messages, run_of_times(messages, F.col("ts")), "messages"):
+        admission.start_admission(spark, source, root, limits, **ONCE).awaitTermination()
     return spark.read.parquet(f"{root}/decisions").drop("batch", "window_no")
 
 
@@ -348,8 +372,8 @@ def stream_admission_by_tier(spark, sf):
 )
 def stream_admission_shuffled(spark, sf):
     """Batches that each reach every hour: a message is counted when it comes, whatever time it carries."""
-    messages = tables.as_messages(tables.table(use_utc(spark), sf, "events")).select("message_id", "device_id", "ts")
+    messages = tables.as_messages(spread(tables.table(use_utc(spark), sf, "events"))).select("message_id", "device_id", "ts")
     root = scratch_path(spark, "shuffled-admission")
-    source = by_arrival(spark, messages, F.col("message_id").cast("bigint") % 3, "shuffled", 3)
-    admission.start_admission(spark, source, root, ADMIT, **ONCE).awaitTermination()
+    for source in by_arrival(spark, messages, (F.col("message_id").cast("bigint") % 3).cast("int"), "shuffled", 3):
+        admission.start_admission(spark, source, root, ADMIT, **ONCE).awaitTermination()
     return spark.read.parquet(f"{root}/decisions").drop("batch", "window_no")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators import devices, ingest, state
 from sensorloom.operators.classify import classify
+from sensorloom.plans import streams
 from sensorloom.schema import EVENT_SCHEMA
 from sensorloom.sources.log import read_log
 from sensorloom.sources.raw import read_bodies, read_events
@@ -188,3 +189,21 @@ def test_sources_read_as_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 2
     typed = read_events(spark, str(tmp_path / "bodies"), "json")
     assert typed.schema == EVENT_SCHEMA and typed.filter(F.col("room_id") == "a").count() == 1
+
+
+def test_batches_by_arrival_come_in_several_files(spark, tmp_path):
+    """One task wrote each batch and one file held it, so nothing before the first shuffle ran on more than one core."""
+    rows = streams.spread(spark.range(1000).withColumn("at", F.timestamp_seconds(F.col("id") * 60)))
+    sizes, tasks = {}, {}
+
+    def look(batch, batch_id):
+        files = batch.select("id", F.input_file_name().alias("f"))
+        sizes[batch_id] = sorted(r.id for r in batch.collect())
+        tasks[batch_id] = files.select("f").distinct().count()
+
+    for come in streams.by_arrival(spark, rows, streams.run_of_times(rows, F.col("at")), "test"):
+        sinks.each_batch(come, look, str(tmp_path / "checkpoint"), "append", **ONCE).awaitTermination()
+    low, high = 0, 999
+    cuts = [low + (high - low) * i / 4 for i in range(5)]
+    assert sizes == {i: [n for n in range(1000) if cuts[i] <= n and (n < cuts[i + 1] or i == 3)] for i in range(4)}
+    assert min(tasks.values()) > 1
