@@ -76,13 +76,18 @@ def spanning_links(ids: np.ndarray, flat: np.ndarray, offsets: np.ndarray, linke
     """
     m = len(ids)
     _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    inverse = inverse.astype(np.int32)  # positions of a block: half the memory
     shared = counts[inverse] > 1
-    owner = np.repeat(np.arange(m), np.diff(offsets))[shared]
+    owner = np.repeat(np.arange(m, dtype=np.int32), np.diff(offsets))[shared]
     token = inverse[shared]
+    del inverse, shared
     order = np.argsort(token, kind="stable")
     posting, by_token = owner[order], token[order]
-    bounds = np.searchsorted(by_token, np.arange(len(counts) + 1))
-    own = np.searchsorted(owner, np.arange(m + 1))
+    del order
+    bounds = np.searchsorted(by_token, np.arange(len(counts) + 1, dtype=np.int32))
+    del by_token
+    own = np.searchsorted(owner, np.arange(m + 1, dtype=np.int32))
+    del owner
     open_ = np.ones(m, bool)
     left, right = [], []
     for root in range(m):

@@ -47,6 +47,17 @@ def node_of(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little", signed=True)
 
 
+def first_tokens(tokens: np.ndarray, percent: int, matches: int, hot: np.ndarray) -> np.ndarray:
+    """The prefix of a set: its first tokens in the common order, as many as ``matches`` common ones need."""
+    n = len(tokens)
+    length = min(n, n - needed(n, percent) + matches)
+    if len(hot) and n:
+        place = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+        common = hot[place] == tokens
+        tokens = np.concatenate([tokens[~common][:length], tokens[common]])
+    return tokens[:length]
+
+
 def prefixes(docs: DataFrame, k: int, percent: int, matches: int, hot: np.ndarray) -> DataFrame:
     """``doc_id, n, sig, node, prefix``: set size, digest of the whole set, its first half as a number, and its first tokens in the common order."""
 
@@ -55,15 +66,9 @@ def prefixes(docs: DataFrame, k: int, percent: int, matches: int, hot: np.ndarra
             for part in slices(batch):
                 sizes, digests, lists = [], [], []
                 for tokens in shingle_sets(part.column(1), k):
-                    n = len(tokens)
-                    sizes.append(n)
+                    sizes.append(len(tokens))
                     digests.append(digest(tokens))
-                    length = min(n, n - needed(n, percent) + matches)
-                    if len(hot) and n:
-                        place = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
-                        common = hot[place] == tokens
-                        tokens = np.concatenate([tokens[~common][:length], tokens[common]])
-                    lists.append(tokens[:length])
+                    lists.append(first_tokens(tokens, percent, matches, hot))
                 ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
                 flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -78,20 +83,23 @@ def prefixes(docs: DataFrame, k: int, percent: int, matches: int, hot: np.ndarra
     return source.mapInArrow(trimmed(run), "doc_id long, n int, sig binary, node long, prefix array<long>")
 
 
-def hot_tokens(base: DataFrame) -> np.ndarray:
+def hot_tokens(docs: DataFrame, k: int, percent: int) -> np.ndarray:
     """The most frequent prefix tokens, at most ``HOT_TOKENS``.
 
     Tokens that occur once in a batch of documents are not counted: common ones occur more often
-    there. Which tokens are taken changes only the work, never the result.
+    there. Which tokens are taken changes only the work, never the result. Prefixes are made and counted in one
+    step: two steps in a row would keep two Python workers a core.
     """
+    none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, counts = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            lists = [first_tokens(tokens, percent, 1, none) for part in slices(batch) for tokens in shingle_sets(part.column(0), k)]
+            tokens, counts = np.unique(np.concatenate([none, *lists]), return_counts=True)
             often = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(tokens[often], pa.int64()), pa.array(counts[often], pa.int64())], ["token", "n"])
 
-    local = base.select("prefix").mapInArrow(trimmed(run), "token long, n long")
+    local = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "token long, n long")
     counts = local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_FROM)
     return np.sort(np.array([r[0] for r in counts.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()], np.int64))
 
@@ -123,7 +131,7 @@ def ngram_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     null doc_id links with nothing and has no component. Repeated rows are copies; different
     texts of one doc_id are documents of their own, and each may link.
     """
-    hot = hot_tokens(prefixes(docs, k, percent, 1, np.zeros(0, np.int64)))
+    hot = hot_tokens(docs, k, percent)
     sets = durable(prefixes(docs, k, percent, MOST_MATCHES, hot))
     reps = durable(representatives(sets))
     links = candidate_links(one_each(sets, reps), percent)

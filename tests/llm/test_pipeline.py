@@ -5,6 +5,7 @@ from collections import Counter
 
 import corpus_pipeline
 import duckdb
+import numpy as np
 import pytest
 from llm_data import documents
 from test_ngram_join import expected
@@ -12,7 +13,7 @@ from test_quality import direct_scores
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from sensorloom.llm import decontaminate, mixing, registry
+from sensorloom.llm import arrow_text, decontaminate, mixing, ngram_join, registry
 from sensorloom.llm.queries import tokenizer_path
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -109,3 +110,24 @@ def test_every_stage_against_brute_force(spark):
 @pytest.mark.parametrize("n", range(1, 11))
 def test_one_query_each(n):
     assert sum(q.startswith(f"op{n}_") for q in entry.queries()) == 1 and "pipeline" in entry.queries()
+
+
+def test_no_stage_of_near_duplicates_keeps_two_python_workers_a_core(spark, monkeypatch):
+    """Two Python steps in a row in one stage hold two workers a core, and idle ones stay beside the JVM's heap."""
+    docs = documents(spark, [(i, " ".join(f"w{i % 3}x{j}" for j in range(9))) for i in range(30)])
+    seen, before = [], type(docs).mapInArrow
+
+    def look(self, *args, **more):
+        plan = self._jdf.queryExecution().executedPlan().toString()
+        seen.append("MapInArrow" in plan and "Exchange" not in plan)
+        return before(self, *args, **more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", look)
+    assert ngram_join.keep_one_each(docs).count() == 3
+    assert len(seen) >= 4 and not any(seen)
+
+
+def test_hash_tables_of_a_worker_take_four_bytes_a_power():
+    hashing = arrow_text.PrimeHash(1)
+    hashing.prefixes(np.zeros(10, np.uint8))
+    assert sum(t.nbytes for pair in hashing.tables for t in pair) <= 4 * 4 * (arrow_text.SLICE_BYTES + 1)
