@@ -95,21 +95,23 @@ def parse_bodies(df: DataFrame, body: str = "body", fast: bool = True) -> DataFr
     whole = (item("$[1]", "bigint") == F.col("_mark")) & item("$[2]", "variant").isNull()
     # The kind is null when the key is absent and VOID for an explicit null.
     first = F.substring(F.ltrim(F.col(body), F.lit(" \t\r\n")), 1, 1)
-    cells = {"_root": F.when(F.col("_flat"), F.lit("{")).when(whole, first)}
+    cells = compute_once(parsed, {"_root": F.when(F.col("_flat"), F.lit("{")).when(whole, first)})
+    column = {f: "ts" if f == "timestamp" else f for f in FIELDS}
+    readable = F.col("_root").isNotNull()
+    # A step for each field: the code of one for all of them is too long for the JVM to compile.
     for f in FIELDS:
-        token = F.col(f"_v_{f}")
-        initial = F.substring(token, 1, 1)
+        token, initial = F.col(f"_v_{f}"), F.col("_initial")
+        cells = compute_once(cells, {"_initial": F.substring(token, 1, 1), "_item": item(f"$[0].{f}", "variant")})
         kind = F.when(initial == '"', "STRING").when(initial == "n", "VOID").when(initial.isin("t", "f"), "BOOLEAN").when(initial != "", "DOUBLE")
         text = F.when(initial == '"', F.substring(token, F.lit(2), F.length(token) - 2)).when(~initial.isin("n", ""), token)
-        cells[f"_k_{f}"] = F.when(F.col("_flat"), kind).otherwise(F.schema_of_variant(item(f"$[0].{f}", "variant")))
-        cells[f"_t_{f}"] = F.when(F.col("_flat"), text).otherwise(item(f"$[0].{f}", "string"))
-    cells = compute_once(parsed, cells)
-    column = {f: "ts" if f == "timestamp" else f for f in FIELDS}
-    readable = F.col("_root").isNotNull()
-    values = compute_once(
-        cells,
-        {column[f]: F.when(readable, _typed(f, F.col(f"_k_{f}"), F.col(f"_t_{f}"))) for f in FIELDS},
-    )
+        read = {
+            f"_k_{f}": F.when(F.col("_flat"), kind).otherwise(F.schema_of_variant("_item")),
+            "_text": F.when(F.col("_flat"), text).otherwise(F.try_variant_get("_item", "$", "string")),
+        }
+        cells = compute_once(cells, read).drop("_initial", "_item")
+        typed = F.when(readable, _typed(f, F.col(f"_k_{f}"), F.col("_text")))
+        cells = compute_once(cells, {column[f]: typed}).drop("_text", f"_v_{f}")
+    values = cells
 
     required = [
         check
@@ -131,5 +133,5 @@ def parse_bodies(df: DataFrame, body: str = "body", fast: bool = True) -> DataFr
         .when(~keyed, "internal:body_is_a_scalar")
         .otherwise(F.concat_ws(",", *required, *optional))
     )
-    helpers = ["_shape", "_flat", "_list", "_mark", "_root", *[f"_{p}_{f}" for f in FIELDS for p in ("k", "t", "v")]]
+    helpers = ["_shape", "_flat", "_list", "_mark", "_root", *[f"_k_{f}" for f in FIELDS]]
     return values.withColumn("parse_problems", problems).drop(*helpers)

@@ -2,9 +2,14 @@
 
 import json
 import random
+import re
 
+import pytest
 from helpers import dicts
 
+from sensorloom.operators.classify import classify
+from sensorloom.operators.enrich import enrich
+from sensorloom.operators.validate import check_parsed
 from sensorloom.sources.raw import FIELDS, parse_bodies
 
 
@@ -26,3 +31,17 @@ def test_both_ways_agree(spark):
     frame = spark.createDataFrame([(i, b) for i, b in enumerate(bodies(5))], "n int, body string")
     fast, slow = (sorted(map(str, dicts(parse_bodies(frame, fast=way)))) for way in (True, False))
     assert fast == slow
+
+
+# The JVM compiles no method of more than 8000 bytes; it interprets it, row after row.
+COMPILED = 8000
+
+
+@pytest.mark.parametrize("side", (0, 1))
+def test_generated_code_is_short_enough_to_be_compiled(spark, tmp_path, side):
+    spark.createDataFrame([(b,) for b in bodies(5, 20)], "body string").write.parquet(f"{tmp_path}/bodies")
+    rows = check_parsed(parse_bodies(spark.read.parquet(f"{tmp_path}/bodies")))[side]
+    plan = (rows if side else classify(enrich(rows)))._jdf.queryExecution().executedPlan()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    assert sizes and max(sizes) < COMPILED
