@@ -80,6 +80,16 @@ class StateTable:
 COMMIT = "total bigint, accepted bigint, rejected bigint, stored bigint, duplicates bigint, first_date date, last_date date, batch bigint"
 
 
+def unknown(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows, each once, that ``known`` does not have.
+
+    One grouping by all columns finds copies on both sides, and a null is equal to a null there. A null-safe
+    join would make two keys of each column.
+    """
+    every = rows.withColumn("_known", F.lit(0)).unionByName(known.select(*rows.columns).withColumn("_known", F.lit(1)))
+    return every.groupBy(*rows.columns).agg(F.max("_known").alias("_known")).where("_known = 0").drop("_known")
+
+
 class LogTable:
     """The accepted log as micro-batches write it: ``event_date=D/batch=N``, every reading once.
 
@@ -117,22 +127,16 @@ class LogTable:
         """
         taken = Observation()
         rows = accepted.select(*LOG_FIELDS).observe(taken, F.count(F.lit(1)).alias("n"))
-        rows = with_event_date(rows.dropDuplicates()).persist()
+        rows = with_event_date(rows).persist()
         try:
             low, high, first, last, n = rows.agg(
                 F.min("ts"), F.max("ts"), F.min("event_date"), F.max("event_date"), F.count("*")
             ).first()
             if n:
                 stored = self._stored().where(F.col("event_date").between(first, last) & F.col("ts").between(low, high))
-                known = stored.where(F.col("batch") != batch_id).alias("k")
-                # Id and time are never null in the log; the other fields decide among what shares them.
-                same = (F.col("r.event_id") == F.col("k.event_id")) & (F.col("r.ts") == F.col("k.ts"))
-                for field in LOG_FIELDS:
-                    if field not in ("event_id", "ts"):
-                        same &= F.col(f"r.{field}").eqNullSafe(F.col(f"k.{field}"))
-                new = rows.alias("r").join(known, same & (F.col("r.event_date") == F.col("k.event_date")), "left_anti")
                 (
-                    new.withColumn("batch", F.lit(batch_id).cast("bigint"))
+                    unknown(rows, stored.where(F.col("batch") != batch_id))
+                    .withColumn("batch", F.lit(batch_id).cast("bigint"))
                     .hint("rebalance", F.col("event_date"))
                     .sortWithinPartitions("event_date", "room_id", "ts")
                     .write.mode("overwrite")

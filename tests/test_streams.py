@@ -207,3 +207,13 @@ def test_batches_by_arrival_come_in_several_files(spark, tmp_path):
     cuts = [low + (high - low) * i / 4 for i in range(5)]
     assert sizes == {i: [n for n in range(1000) if cuts[i] <= n and (n < cuts[i + 1] or i == 3)] for i in range(4)}
     assert min(tasks.values()) > 1
+
+
+def test_unknown_rows_by_one_grouping(spark):
+    kind = "event_id string, ts int, unit string, value double"
+    new = [("1", 1, None, 1.0), ("1", 1, None, 1.0), ("2", 1, None, 2.0), ("3", 1, "C", 0.0), ("3", 2, "C", 0.0), ("4", 1, None, float("nan"))]
+    known = [("2", 1, None, 2.0), ("3", 1, None, 0.0), ("3", 2, "C", -0.0), ("4", 1, None, float("nan")), ("5", 1, None, 5.0)]
+    found = sinks.unknown(spark.createDataFrame(new, kind), spark.createDataFrame(known, kind))
+    assert sorted(map(tuple, found.collect()), key=str) == [("1", 1, None, 1.0), ("3", 1, "C", 0.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
