@@ -217,3 +217,12 @@ def test_unknown_rows_by_one_grouping(spark):
     assert sorted(map(tuple, found.collect()), key=str) == [("1", 1, None, 1.0), ("3", 1, "C", 0.0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_late_readings_are_sent_from_one_scan(spark, tmp_path):
+    frame = spark.range(70).selectExpr("id AS event_id", "TIMESTAMP_NTZ'2024-01-01' AS ts", "id AS user_id", "'view' AS event_type", "1.5D AS value", "'' AS props")
+    frame.write.parquet(f"{tmp_path}/events")
+    sent = streams.arrivals(spark.read.parquet(f"{tmp_path}/events"))
+    hours = {(int(r.event_id), (r._arrival - r.ts).total_seconds() / 3600) for r in sent.collect()}
+    assert hours == {(i, 72 if i % 7 == 0 else 0) for i in range(70)} | {(i, 100) for i in range(0, 70, 5)}
+    assert sent._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
